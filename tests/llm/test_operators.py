@@ -1,0 +1,408 @@
+"""Each operator against a brute-force version, an exact round trip or held-out accuracy."""
+
+import random
+import re
+import unicodedata
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from tokenizers import Tokenizer
+
+import corpus_pipeline
+from tidemark.llm import bpe, dac, exact, fingerprint, licenses, packing, pii, quality, simhash
+from tidemark.llm import queries as Q
+
+SF = "/root/testdata/sf0.01"
+
+
+@pytest.fixture(scope="module")
+def texts():
+    rows = duckdb.connect().sql(f"SELECT doc_id, text FROM '{SF}/documents.parquet' ORDER BY 1").fetchall()
+    return dict(rows)
+
+
+def run(spark, name):
+    return Q.queries()[name](spark, SF)
+
+
+# --- packing
+
+
+def gaps_by_hand(lengths, capacity):
+    """The same rules piece by piece: the multiset of gaps that the bins are left with."""
+    bins = []
+    large = sorted(n for n in lengths if 3 * n > capacity)
+    while large:
+        a = large.pop()
+        fits = [k for k, b in enumerate(large) if b <= capacity - a]
+        bins.append(capacity - a - (large.pop(fits[-1]) if fits else 0))
+    for n in sorted((n for n in lengths if 3 * n <= capacity), reverse=True):
+        fits = [(g, k) for k, g in enumerate(bins) if g >= n]
+        if fits:
+            bins[min(fits)[1]] -= n
+        else:
+            bins.append(capacity - n)
+    return Counter(bins)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=60), st.integers(60, 64))
+def test_packing_plan(lengths, capacity):
+    segments, bins = packing.packing_plan(Counter(lengths), capacity)
+    fill, large, seen = defaultdict(list), Counter(), Counter()
+    for length, first, n, start, each, offset in segments:
+        assert first == seen[length]
+        seen[length] += n
+        for i in range(n):
+            b = start + i // each
+            fill[b].append((offset + i % each * length, length))
+            large[b] += 3 * length > capacity
+    assert seen == Counter(lengths) and set(fill) <= set(range(bins))
+    for own in fill.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= capacity
+    assert max(large.values(), default=0) <= 2
+    assert Counter(capacity - sum(n for _, n in own) for own in fill.values()) == gaps_by_hand(lengths, capacity)
+
+
+def test_packing_of_documents(spark, texts):
+    rows = run(spark, "op1_best_fit_packing").collect()
+    by_bin = defaultdict(list)
+    parts = defaultdict(list)
+    for r in rows:
+        by_bin[r.bin_id].append(r)
+        parts[r.doc_id].append((r.start, r.length))
+    for i, t in texts.items():
+        at = 0
+        for start, n in sorted(parts[i]):
+            assert start == at
+            at += n
+        assert at == len(t.encode())
+    pieces = [r.length for r in rows if r.length]
+    assert Counter(8192 - sum(r.length for r in own) for b, own in by_bin.items() if b is not None) == gaps_by_hand(pieces, 8192)
+
+
+# --- licenses
+
+
+def test_license_spans(spark, texts):
+    got = {(r.doc_id, r.license) for r in run(spark, "op2_license_scans").collect()}
+    want = set()
+    for i, t in texts.items():
+        words = licenses.plain_words(t)
+        for name, template in licenses.TEMPLATES:
+            w = licenses.plain_words(template)
+            if any(words[k : k + len(w)] == w for k in range(len(words) - len(w) + 1)):
+                want.add((i, name))
+    assert got == want and want
+
+
+def test_license_variants(spark):
+    mit = licenses.TEMPLATES[1][1]
+    words = mit.split()
+    changed = " ".join([*words[:10], "NEW", *words[10:20], *words[22:]])
+    filler = " ".join(f"w{k}" for k in range(50))
+    rows = [(1, f"{filler} {changed} {filler}"), (2, " ".join(f"// {w}" if k % 9 == 0 else w for k, w in enumerate(words))), (3, " ".join(words[:6])), (4, "licensed under the of the software"), (5, f"{mit} {filler} {mit}"), (6, "in the software without the use of modify copies")]
+    got = sorted((r.doc_id, r.license) for r in licenses.license_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
+    assert got == [(1, "MIT"), (2, "MIT"), (5, "MIT"), (5, "MIT")]
+
+
+# --- tokens
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 2**31 - 1) | st.integers(0, 300), max_size=1500))
+def test_dac_round_trip(ids):
+    code = dac.dac_encode(ids)
+    assert dac.dac_decode(code).tolist() == ids and dac.dac_length(code) == len(ids)
+    for i in random.Random(1).sample(range(len(ids)), min(20, len(ids))):
+        assert dac.dac_get(code, i) == ids[i]
+    with pytest.raises(IndexError):
+        dac.dac_get(code, len(ids))
+
+
+def test_dac_refuses():
+    with pytest.raises(ValueError):
+        dac.dac_encode([-1])
+    with pytest.raises(ValueError):
+        dac.dac_encode([1 << 31])
+    with pytest.raises(ValueError):
+        dac.dac_decode(b"abc")
+
+
+def test_tokens_of_documents(spark, texts):
+    other = Tokenizer.from_file(bpe.vocabulary())
+    other.encode_special_tokens = True
+    ids = {r.doc_id: r.token_ids for r in run(spark, "op5_byte_level_bpe").collect()}
+    codes = {r.doc_id: (r.n_tokens, bytes(r.codes)) for r in run(spark, "op3_token_codes").collect()}
+    assert set(ids) == set(codes) == set(texts)
+    for i, t in texts.items():
+        want = other.encode(t, add_special_tokens=False).ids
+        assert ids[i] == want
+        assert codes[i][0] == len(want) and dac.dac_decode(codes[i][1]).tolist() == want
+        assert all(dac.dac_get(codes[i][1], k) == want[k] for k in range(0, len(want), 97))
+
+
+_PIECES = st.sampled_from(["'s", "'ve", "'", " ", "  ", "\n", "\t", "\xa0", "　", "a", "Z", "é", "ß", "日本", "1", "²", "½", "!", "...", "😀", "the", " the", "re", "ll", "aaaa", "́", "\r\n", "\x1c"])
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(_PIECES, max_size=12).map("".join) | st.text(max_size=20), max_size=8))
+def test_tokens_of_odd_texts(texts):
+    other = Tokenizer.from_file(bpe.vocabulary())
+    other.encode_special_tokens = True
+    texts = [t.encode("utf-8", "ignore").decode() for t in texts]
+    from tidemark.llm.flat import flat_bytes
+
+    data, offsets = flat_bytes(pa.array(texts, pa.string()))
+    model = bpe.merges(bpe.vocabulary())
+    tokens, at = model.encode(data, offsets)
+    for k, t in enumerate(texts):
+        if all(unicodedata.category(c) not in ("Cn", "Co") for c in t):
+            assert tokens[at[k] : at[k + 1]].tolist() == other.encode(t, add_special_tokens=False).ids, repr(t)
+    back, ends = model.decode(tokens, at)
+    assert back.tobytes() == data.tobytes() and ends.tolist() == offsets.tolist()
+
+
+# --- dedup
+
+
+def components_by_hand(fps, most):
+    """Smallest member of each component of all pairs at that distance."""
+    ids = sorted(fps)
+    a = np.frombuffer(b"".join(fps[i] for i in ids), np.uint64).reshape(-1, 4)
+    parent = list(range(len(ids)))
+
+    def find(x):
+        while parent[x] != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    pairs = []
+    for k in range(len(ids)):
+        for j in np.flatnonzero(np.bitwise_count(a[k + 1 :] ^ a[k]).sum(axis=1) <= most).tolist():
+            pairs.append((ids[k], ids[k + 1 + j]))
+            x, y = find(k), find(k + 1 + j)
+            parent[max(x, y)] = min(x, y)
+    return {i: ids[find(k)] for k, i in enumerate(ids)}, pairs
+
+
+def test_near_duplicates(spark, texts):
+    ids = list(texts)
+    fps = dict(zip(ids, simhash.fingerprints(pa.array([texts[i] for i in ids]))))
+    want, pairs = components_by_hand({i: f for i, f in fps.items() if f}, int(0.17 * 256))
+    got = {r.doc_id: r.keeper_id for r in run(spark, "op4_simhash_near_dedup").collect()}
+    assert len(pairs) > 50
+    assert sum(got[a] == got[b] for a, b in pairs) / len(pairs) >= 0.9
+    assert all(want[i] == want[got[i]] for i in want)  # nothing is joined that isn't connected
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = random.Random(3)
+    words = [f"{a}{b}" for a in "bcdfghklm" for b in ("an", "or", "et", "il", "um", "es", "ad", "ip", "ox")]
+    base = [[rng.choice(words) + rng.choice(words) for _ in range(200)] for _ in range(150)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)]
+    near = {}
+    for i in range(0, 150, 2):
+        copy = list(base[i])
+        for k in rng.sample(range(200), 10):
+            copy[k] = rng.choice(words) + "zz"
+        near[1000 + i] = i
+        rows.append((1000 + i, " ".join(copy)))
+    got = {r.doc_id: r.keeper_id for r in simhash.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert sum(got[c] == o for c, o in near.items()) >= 0.95 * len(near)
+    assert all(got[i] == i for i in range(150))
+
+
+def test_crowded_prefixes_are_split():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2, (300, 256), dtype=np.uint8)
+    base[:, :200] = base[0, :200]  # most bits alike, as of texts that share their common words
+    copies = base.copy()
+    flip = rng.integers(0, 256, (300, 6))
+    for k in range(300):
+        copies[k, flip[k]] ^= 1
+    fp = np.packbits(np.concatenate((base, copies)), axis=1).view(np.uint64)
+    x, y = simhash._pairs(np.zeros(600, np.int64), fp, 6, 64, 4, 16, 0.03, 0)
+    found = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
+    assert sum((k, k + 300) in found for k in range(300)) >= 0.9 * 300
+    a, b = simhash._walk(fp, 6)
+    label = simhash._settled(600, a, b)
+    assert all(label[k] == label[k + 300] for k in range(300))
+
+
+def test_components(spark):
+    chain = [(k + 1, k) for k in range(60)] + [(200, 100), (201, 200), (201, 202)]
+    got = dict((r.node, r.keeper) for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect())
+    assert got == {**{k: 0 for k in range(1, 61)}, 200: 100, 201: 100, 202: 100}
+
+
+@pytest.mark.parametrize("copies", [2, 32])
+def test_exact_duplicates(spark, texts, copies):
+    first = {}
+    for i, t in texts.items():
+        first.setdefault(t, i)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    got = {r.doc_id: (r.keeper_id, r.is_duplicate) for r in exact.exact_duplicates(docs, copies=copies).collect()}
+    assert got == {i: (first[t], first[t] != i) for i, t in texts.items()}
+    assert sorted(r.doc_id for r in exact.exact_dedup(docs, copies=copies).select("doc_id").collect()) == sorted(first.values())
+
+
+def test_heavy_texts_go_where_they_are_read(spark):
+    rows = [(i, "the same page") for i in range(500)] + [(i, f"page {i}") for i in range(500, 900)] + [(i, "x" * 5000) for i in range(900, 1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    for budget in (32 << 20, 1000):  # the second leaves the long text to the shuffle
+        got = exact.exact_duplicates(docs, winner_bytes=budget).collect()
+        assert sum(r.is_duplicate for r in got) == 499 + 99
+        assert {r.keeper_id for r in got if r.doc_id < 500} == {0} and {r.keeper_id for r in got if r.doc_id >= 900} == {900}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 12), max_size=300), st.integers(1, 6))
+def test_misra_gries(values, k):
+    summary = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+    for a in range(0, len(values), 50):
+        summary = exact.misra_gries(summary, np.array(values[a : a + 50], np.int64), k)
+    kept = dict(zip(summary[0].tolist(), summary[1].tolist()))
+    assert len(kept) <= k
+    for v, n in Counter(values).items():
+        assert n - len(values) / (k + 1) <= kept.get(v, 0) <= n
+
+
+def test_fingerprints(spark):
+    forms = ["Straße  ﬁne\nCafé", "STRASSE fine café", "strasse fine café ", "strasse fine cafe", "ΣΑΣ", "σας", "x", ""]
+    rows = list(enumerate(forms))
+    got = {r.doc_id: r.group_id for r in fingerprint.document_fingerprints(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    first = {}
+    want = {i: first.setdefault(" ".join(unicodedata.normalize("NFKC", unicodedata.normalize("NFKC", t).casefold()).split()), i) for i, t in rows}
+    assert got == want and got[1] == got[2] == 0 and got[3] == 3 and got[5] == 4
+
+
+def test_fingerprints_of_documents(spark, texts):
+    first = {}
+    want = {i: first.setdefault(fingerprint.canonical(t), i) for i, t in texts.items()}
+    rows = run(spark, "op10_document_fingerprints").collect()
+    assert {r.doc_id: r.group_id for r in rows} == want
+    assert all(r.fingerprint == fingerprint.fingerprint(texts[r.doc_id]).hex() for r in rows)
+
+
+def test_colliding_fingerprints_stay_apart(spark, monkeypatch):
+    class Same:
+        @staticmethod
+        def xxh3_128_digest(data):
+            return bytes([len(data) % 2]) * 16
+
+    class Broken(str):
+        pass
+
+    rows = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "c"), (5, "c")]
+    import subprocess  # noqa: F401  (workers import the module anew, so the collision is made in the driver's plan only)
+
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.group_id for r in fingerprint.document_fingerprints(docs).collect()}
+    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+
+
+# --- models
+
+
+def test_pii_of_planted(spark):
+    rng = random.Random(11)
+    plain = "the of and ing tion er with by from this that were 12 and 3.5 or 2024 then chapter 7".split()
+    rows, want = [], []
+    makers = {
+        "EMAIL": lambda: f"{rng.choice('abcdef')}{rng.randrange(99)}.x@mail{rng.randrange(9)}.example.com",
+        "IP": lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+        "CARD": lambda: "4" + "".join(str(rng.randrange(10)) for _ in range(15)),
+        "PHONE": lambda: f"+1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}",
+        "KEY": lambda: "AKIA" + "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)),
+        "SECRET": lambda: "password=" + "".join(rng.choice("0123456789abcdef") for _ in range(18)),
+    }
+    for i in range(600):
+        words = [rng.choice(plain) for _ in range(60)]
+        if i % 2:
+            kind = rng.choice(list(makers))
+            value = makers[kind]()
+            words.insert(30, value)
+            want.append((i, kind, value.removeprefix("password=")))
+        rows.append((i, " ".join(words)))
+    texts = dict(rows)
+    got = [(r.doc_id, r.kind, texts[r.doc_id][r.start : r.end]) for r in pii.pii_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert len(set(got) & set(want)) >= 0.98 * len(want)
+    assert len([g for g in got if g not in set(want)]) <= 0.02 * len(want)
+
+
+def test_pii_of_documents(spark, texts):
+    pattern = re.compile(r"[\w.]+@mail\d\.example\.com|\+1 \(\d{3}\) 555-\d{4}|AKIA[A-Z0-9]{16}|(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d])|(?<!\d)\d{16}(?!\d)|(?<=password=)[0-9a-f]+|(?<=token = \")[0-9a-f]+")
+    want = {(i, m.start(), m.end()) for i, t in texts.items() for m in pattern.finditer(t)}
+    got = {(r.doc_id, r.start, r.end) for r in run(spark, "op7_pii").collect()}
+    assert got == want and len(want) > 50
+
+
+def test_reliabilities():
+    counts = {("IP", "+++++"): 900, ("IP", "--0-+"): 400, ("IP", "+-0++"): 10}
+    p = pii.posteriors(counts)
+    assert p["IP", "+++++"] > 0.9 and p["IP", "--0-+"] < 0.1
+
+
+def test_quality_held_out():
+    rows = duckdb.connect().sql("SELECT text, quality, toxic FROM '/root/testdata/sf0.1/documents.parquet' JOIN '/root/testdata/sf0.1/labels.parquet' USING (doc_id) ORDER BY hash(doc_id)").fetchall()
+    y = np.array([0 if q == 0 else 1 if t else 2 for _, q, t in rows])
+    column = pa.array([r[0] for r in rows])
+    n = 2600
+    r, f, v, _ = quality.features(column.slice(0, n))
+    model = quality.Ordinal.fit(r, f, v, y[:n])
+    assert (np.diff(model.thresholds) >= 0).all()
+    p = model.tails(column.slice(n))
+    good, held = p[:, 1] >= 0.5, y[n:]
+    assert good[held == 2].mean() > 0.95 and good[held == 0].mean() < 0.03 and good[held == 1].mean() < 0.5
+    grade = p.sum(axis=1)
+    assert grade[held == 0].mean() < grade[held == 1].mean() < grade[held == 2].mean()
+
+
+def test_pipeline_by_hand(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic"))
+    ids = list(texts)
+    kept = [i for i, p in zip(ids, model.tails(pa.array([texts[i] for i in ids]))) if p[1] >= 0.5]
+    first = {}
+    for i in kept:
+        first.setdefault(texts[i], i)
+    kept = sorted(first.values())
+    fps = {i: f for i, f in zip(kept, simhash.fingerprints(pa.array([texts[i] for i in kept]))) if f}
+    keeper, _ = components_by_hand(fps, int(0.17 * 256))
+    want = {i for i in kept if keeper.get(i, i) == i}
+    rows = corpus_pipeline.run(spark, SF).collect()
+    got = {r.doc_id for r in rows}
+    assert want <= got and len(got - want) <= 0.02 * len(want)  # the forest may miss a pair
+    size = defaultdict(int)
+    for r in rows:
+        size[r.doc_id] += r.length
+    private = {r.doc_id for r in run(spark, "op7_pii").select("doc_id").collect()}
+    assert all(size[i] == len(texts[i].encode()) for i in got - private)
+    bins = defaultdict(int)
+    for r in rows:
+        if r.bin_id is not None:
+            bins[r.bin_id] += r.length
+    assert Counter(8192 - n for n in bins.values()) == gaps_by_hand([r.length for r in rows if r.length], 8192)
+
+
+@pytest.mark.parametrize("name", sorted(Q.ORACLE_SQL))
+def test_oracles(spark, name):
+    con = duckdb.connect()
+    for t in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
+    found = con.execute(Q.ORACLE_SQL[name])
+    names = [d[0] for d in found.description]
+    want = sorted(map(repr, found.fetchall()))
+    got = sorted(repr(tuple(r)) for r in run(spark, name).select(*names).collect())
+    assert got == want

@@ -33,9 +33,9 @@ PROPOSALS = (
     ("EMAIL", re.compile(r"(?<![\w.+-])([\w.+%-]+@[\w-]+(?:\.[\w-]+)+)")),
     ("IP", re.compile(r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)")),
     ("IBAN", re.compile(r"(?<![A-Za-z0-9])([A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])")),
-    ("CARD", re.compile(r"(?<![\d.,])(\d(?:[ -]?\d){12,18})(?![\d]|[.,]\d)")),
+    ("CARD", re.compile(r"(?<![\d.,])(\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\d|[.,]\d)")),
     ("SSN", re.compile(r"(?<![\d-])(\d{3}[- ]\d{2}[- ]\d{4})(?![\d-])")),
-    ("PHONE", re.compile(r"(?<![\w+(.])((?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])(?:\d{2,4}[ .-]?){1,3}\d{2,4}|\+\d{8,14})(?![\w])")),
+    ("PHONE", re.compile(r"(?<![\w+(.])((?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])(?:\d{2,4}[ .-]?){1,3}\d{2,4}|\+\d{8,14})(?![\w])")),
     ("NAME", re.compile(_TITLES + r"\.? ([A-ZÀ-Þ][^\W\d_]+(?: [A-ZÀ-Þ][^\W\d_]+)?)")),
 )
 #: Where a proposal without a digit, an at sign, an equals sign or a colon may be.
