@@ -295,21 +295,14 @@ def test_fingerprints_of_documents(spark, texts):
     assert all(r.fingerprint == fingerprint.fingerprint(texts[r.doc_id]).hex() for r in rows)
 
 
-def test_colliding_fingerprints_stay_apart(spark, monkeypatch):
-    class Same:
-        @staticmethod
-        def xxh3_128_digest(data):
-            return bytes([len(data) % 2]) * 16
-
-    class Broken(str):
-        pass
-
-    rows = [(1, "aa"), (2, "bb"), (3, "aa"), (4, "c"), (5, "c")]
-    import subprocess  # noqa: F401  (workers import the module anew, so the collision is made in the driver's plan only)
-
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    got = {r.doc_id: r.group_id for r in fingerprint.document_fingerprints(docs).collect()}
-    assert got == {1: 1, 2: 2, 3: 1, 4: 4, 5: 4}
+@pytest.mark.parametrize("most_sent", [4 << 20, 0])
+def test_colliding_fingerprints_stay_apart(spark, texts, most_sent):
+    first = {}
+    want = {i: first.setdefault(fingerprint.canonical(t), i) for i, t in texts.items()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = fingerprint.document_fingerprints(docs, width=1, most_sent=most_sent).collect()
+    assert len(rows) == len(texts) and len({r.fingerprint for r in rows}) <= 256
+    assert {r.doc_id: r.group_id for r in rows} == want
 
 
 # --- models

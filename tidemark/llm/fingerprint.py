@@ -26,20 +26,20 @@ def fingerprint(text: str) -> bytes:
     return xxhash.xxh3_128_digest(canonical(text).encode("utf-8", "surrogatepass"))
 
 
-def _digests(docs: DataFrame) -> DataFrame:
+def _digests(docs: DataFrame, width: int) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in byte_slices(batch):
-                digests = [None if t is None else fingerprint(t) for t in piece.column("text").to_pylist()]
+                digests = [None if t is None else fingerprint(t)[:width] for t in piece.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays([piece.column("doc_id"), pa.array(digests, pa.binary())], names=["doc_id", "digest"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, digest binary")
 
 
-def _canonical_of(docs: DataFrame, among: np.ndarray | None) -> DataFrame:
-    """(doc_id, digest, canon) of the rows whose digest's first half is among the sorted values; of all if that is None."""
+def _canonical_of(docs: DataFrame, among: np.ndarray | None, width: int) -> DataFrame:
+    """(doc_id, digest, canon) of the rows whose digest's first 8 bytes are among the sorted values; of all if that is None."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     sent = None if among is None else docs.sparkSession.sparkContext.broadcast(among)
 
@@ -47,9 +47,9 @@ def _canonical_of(docs: DataFrame, among: np.ndarray | None) -> DataFrame:
         for batch in batches:
             for piece in byte_slices(batch):
                 texts = [None if t is None else canonical(t).encode("utf-8", "surrogatepass") for t in piece.column("text").to_pylist()]
-                digests = [None if t is None else xxhash.xxh3_128_digest(t) for t in texts]
+                digests = [None if t is None else xxhash.xxh3_128_digest(t)[:width] for t in texts]
                 if sent is not None:
-                    half = np.frombuffer(b"".join((d or bytes(16))[:8] for d in digests), ">i8").astype(np.int64)
+                    half = np.frombuffer(b"".join((d or b"")[:8].ljust(8, b"\0") for d in digests), ">i8").astype(np.int64)
                     at = np.minimum(np.searchsorted(sent.value, half), max(len(sent.value) - 1, 0))
                     keep = (sent.value[at] == half) if len(sent.value) else np.zeros(len(half), bool)
                 else:
@@ -60,7 +60,7 @@ def _canonical_of(docs: DataFrame, among: np.ndarray | None) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, digest binary, canon binary")
 
 
-def document_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_sent: int = 4 << 20) -> DataFrame:
+def document_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most_sent: int = 4 << 20, width: int = 16) -> DataFrame:
     """Every row's fingerprint and group: (doc_id, fingerprint, group_id).
 
     ``fingerprint`` is the hexadecimal digest of the canonical text, ``group_id`` the smallest id whose canonical text
@@ -68,19 +68,20 @@ def document_fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "
     digests that occur more than once are moved; the list of these digests is sent to the executors up to
     ``most_sent`` values (8 bytes each), beyond that they are found by a join. A null text has a null fingerprint and
     its own id as group; empty and blank texts are equal; null ids are kept and no group's id unless it has no other.
-    Other columns of the input are not read; an empty table gives no rows.
+    Other columns of the input are not read; an empty table gives no rows. ``width`` is how many bytes of the digest are
+    used, all by default; groups are the same for any.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    keys = written(_digests(own))
+    keys = written(_digests(own, width))
     several = keys.where("digest IS NOT NULL").groupBy("digest").count().where("count > 1").select("digest")
     several = written(several)
     n = several.count()
     if n <= most_sent:
-        half = several.select(F.conv(F.substring(F.hex("digest"), 1, 16), 16, -10).cast("long").alias("half")).distinct()
+        half = several.select(F.conv(F.rpad(F.substring(F.hex("digest"), 1, 16), 16, "0"), 16, -10).cast("long").alias("half")).distinct()
         among = np.sort(np.array([r.half for r in half.collect()], np.int64))
-        found = _canonical_of(own, among)
+        found = _canonical_of(own, among, width)
     else:
-        found = _canonical_of(own, None).join(several, "digest", "left_semi")
+        found = _canonical_of(own, None, width).join(several, "digest", "left_semi")
     classes = written(found.groupBy("digest", "canon").agg(F.min("doc_id").alias("group_id")))
     per = classes.groupBy("digest").agg(F.count("*").alias("classes"), F.min("group_id").alias("group_id"))
     single = per.where("classes = 1").select("digest", "group_id")
