@@ -69,6 +69,18 @@ def test_fully_evicted(spark, folder):
     assert fill(L.EventLog(spark, folder), spark, 1) == 5  # a log that lost everything isn't a new one
 
 
+def test_evict(spark, folder):
+    log = L.EventLog(spark, folder)
+    fill(log, spark, 10)
+    log.evict_below(5)
+    with pytest.raises(L.RetentionExpired) as e:
+        log.read_range(2, 8)
+    assert e.value.earliest == 5 and [r.offset for r in log.read_range(5, 8).collect()] == [5, 6, 7]
+    log.evict_below(99)
+    assert (log.earliest_offset(), log.latest_offset(), log.next_offset()) == (None, None, 10)
+    assert fill(log, spark, 1) == 10 and log.earliest_offset() == 10
+
+
 def test_tail(spark, folder):
     log = L.EventLog(spark, folder)
     fill(log, spark, 3)

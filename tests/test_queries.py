@@ -39,3 +39,13 @@ def test_known_counts(spark):
 def test_contract(spark):
     assert entry.entry(spark).count() == 494
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_views(spark):
+    from tidemark.plans.views import register
+
+    names = register(spark, detections(spark, SMALL), Q.WINDOW_NS)
+    assert {"gate", "crossings", "log"} <= set(names)
+    assert spark.sql("SELECT count(*) AS n FROM log WHERE kind = 'Crossing'").first().n == spark.table("crossings").count() == 494
+    for name in names:
+        spark.catalog.dropTempView(name)

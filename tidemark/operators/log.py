@@ -245,8 +245,26 @@ class EventLog:
         return gone
 
     def earliest_offset(self) -> int | None:
-        segments = self._read()["segments"]
-        return segments[0]["base_offset"] if segments else None
+        return self._earliest(self._read())
+
+    @staticmethod
+    def _earliest(manifest: dict) -> int | None:
+        segments = manifest["segments"]
+        return max(segments[0]["base_offset"], manifest.get("floor", 0)) if segments else None
+
+    def evict_below(self, offset: int) -> None:
+        """Makes everything before an offset unreadable, the next offset at most; segments that are gone whole are deleted."""
+        manifest = self._read()
+        floor = manifest["floor"] = max(manifest.get("floor", 0), min(offset, manifest["next_offset"]))
+        gone = [s["base_offset"] for s in manifest["segments"] if s["last_offset"] < floor]
+        manifest["segments"] = [s for s in manifest["segments"] if s["base_offset"] not in gone]
+        manifest["appends"] = [a for a in manifest["appends"] if a["segment_base"] not in gone]
+        self._write(manifest)
+        for base_offset in gone:
+            self._fs.delete(self._path(f"{self.path}/data/segment_base={base_offset}"), True)
+
+    def evict_all(self) -> None:
+        self.evict_below(self.next_offset())
 
     def latest_offset(self) -> int | None:
         segments = self._read()["segments"]
@@ -262,7 +280,7 @@ class EventLog:
     def read_range(self, start: int, end: int | None = None) -> DataFrame | None:
         """[start, end) ascending; None is an empty answer. Expired offsets are an error, checked before emptiness."""
         manifest = self._read()
-        earliest = manifest["segments"][0]["base_offset"] if manifest["segments"] else None
+        earliest = self._earliest(manifest)
         if start < manifest["next_offset"] and (earliest is None or start < earliest):
             raise RetentionExpired(start, earliest)
         stop = manifest["next_offset"] if end is None else min(end, manifest["next_offset"])

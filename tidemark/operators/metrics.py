@@ -38,14 +38,16 @@ def sessions_total(changes: DataFrame) -> DataFrame:
 def capped(increments: DataFrame, labels: list[str], order: str, value: str, cap: int = MAX_SERIES) -> DataFrame:
     """(labels, value, is_overflow): the first ``cap`` label sets by first appearance; all later ones are one sum.
 
-    The sets are ranked over one row each, found by a partial aggregation, not over the increments.
+    Sets are counted by a partial aggregation; the first of them are a top-k, and what overflows is the total less
+    what they have, so no task sees all sets.
     """
-    sets = increments.groupBy(*labels).agg(F.min(order).alias("_first"), F.sum(value).alias("value"))
-    ranked = sets.withColumn("_rank", F.row_number().over(Window.orderBy("_first", *labels)))
-    kept = ranked.where(F.col("_rank") <= cap).select(*labels, "value", F.lit(False).alias("is_overflow"))
-    over = ranked.where(F.col("_rank") > cap).agg(F.coalesce(F.sum("value"), F.lit(0)).alias("value"))
+    sets = increments.groupBy(*labels).agg(F.min(order).alias("_first"), F.sum(value).cast("long").alias("value"))
+    kept = sets.orderBy("_first", *labels).limit(cap).select(*labels, "value", F.lit(False).alias("is_overflow"))
+    whole = increments.agg(F.coalesce(F.sum(value), F.lit(0)).cast("long").alias("_all"))
+    own = kept.agg(F.coalesce(F.sum("value"), F.lit(0)).alias("_kept"))
     kinds = dict(increments.dtypes)
-    return kept.unionByName(over.select(*[F.lit(None).cast(kinds[c]).alias(c) for c in labels], F.col("value").cast("long"), F.lit(True).alias("is_overflow")))
+    over = whole.crossJoin(own).select(*[F.lit(None).cast(kinds[c]).alias(c) for c in labels], (F.col("_all") - F.col("_kept")).alias("value"), F.lit(True).alias("is_overflow"))
+    return kept.unionByName(over)
 
 
 def rendered(series: DataFrame, labels: list[str], name: str, kind: str, help_text: str, cap: int = MAX_SERIES) -> DataFrame:
