@@ -28,7 +28,7 @@ _TITLES = r"(?:Mrs|Mr|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora|Señor)"
 #: What the proposals look like; of overlapping spans the first kind's counts.
 PROPOSALS = (
     ("SECRET", re.compile(r"""(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)["']?\s{0,3}[:=]\s{0,3}["']?([^\s"'<>]{6,})""")),
-    ("KEY", re.compile(r"(?<![A-Za-z0-9])((?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])", re.I)),
+    ("KEY", re.compile(r"(?<![A-Za-z0-9])(AKIA[A-Z0-9]{16}|ASIA(?=[A-Z]*\d)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9_-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,})(?![A-Za-z0-9])")),
     ("SECRET", re.compile(r"(?<![A-Za-z0-9])([0-9a-fA-F]{32,})(?![A-Za-z0-9])")),
     ("EMAIL", re.compile(r"(?<![\w.+-])([\w.+%-]+@[\w-]+(?:\.[\w-]+)+)")),
     ("IP", re.compile(r"(?<![\d.])(\d{1,3}(?:\.\d{1,3}){3})(?!\.?\d)")),
@@ -39,10 +39,10 @@ PROPOSALS = (
     ("NAME", re.compile(_TITLES + r"\.? ([A-ZÀ-Þ][^\W\d_]+(?: [A-ZÀ-Þ][^\W\d_]+)?)")),
 )
 #: Where a proposal without a digit, an at sign, an equals sign or a colon may be.
-_LITERALS = tuple(x.encode() for x in ("AKIA", "ASIA", "akia", "asia", "Mrs. ", "Mr. ", "Ms. ", "Dr. ", "Prof. ", "Mrs ", "Mr ", "Dr ", "Herr ", "Frau ", "Madame ", "Monsieur ", "Señor"))
+_LITERALS = tuple(x.encode() for x in ("AKIA", "Mrs. ", "Mr. ", "Ms. ", "Dr. ", "Prof. ", "Mrs ", "Mr ", "Dr ", "Herr ", "Frau ", "Madame ", "Monsieur ", "Señor"))
 _STRICT = {
     "SECRET": re.compile(r"(?=.*\d)[\w+/=.-]{8,}"),
-    "KEY": re.compile(r"(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}", re.I),
+    "KEY": re.compile(r"(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}"),
     "EMAIL": re.compile(r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}"),
     "IP": re.compile(r"(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.|$)){4}"),
     "IBAN": re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4})+"),
