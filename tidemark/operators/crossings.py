@@ -23,21 +23,23 @@ _OUT = (
     "source_attestation string, detection_ids array<string>, first_arrival bigint, trigger_arrival bigint, trigger_producer_id string, is_open boolean"
 )
 
+_LOG = "trigger_arrival bigint, is_derived boolean, producer_id string, kind string, detection_id string, first_detection_id string, timing_point_id string, subject_id string, at_ns bigint"
+
 
 def crossing_id(point: Column, subject: Column, first_detection: Column) -> Column:
     """The same id for the same group, however often it is computed."""
     return F.md5(F.concat_ws("\x1f", point, F.coalesce(subject, F.lit("")), first_detection))
 
 
-def anchors(key: np.ndarray, times: np.ndarray, window: int) -> np.ndarray:
-    """First rows of the groups; rows are sorted by key, then arrival."""
+def anchors(key: np.ndarray, times: np.ndarray, window: int, alone: np.ndarray) -> np.ndarray:
+    """First rows of the groups; rows are sorted by key, then arrival. A row that is alone is a group of its own."""
     n = len(key)
     new = np.concatenate(([True], key[1:] != key[:-1]))
     # A key whose times all lie within the window of its first row needs no walk.
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, n))
     late = times - np.repeat(times[first], size) > window
-    walk = np.unique(np.repeat(np.arange(len(first)), size)[late])
+    walk = np.unique(np.repeat(np.arange(len(first)), size)[late & ~alone])
     for k in walk.tolist():
         a, b = int(first[k]), int(first[k] + size[k])
         own = times[a:b].tolist()
@@ -46,7 +48,7 @@ def anchors(key: np.ndarray, times: np.ndarray, window: int) -> np.ndarray:
             if t - anchor > window:
                 new[a + i] = True
                 anchor = t
-    return np.flatnonzero(new)
+    return np.flatnonzero(new | alone)
 
 
 def _reduced(rows: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, trigger: np.ndarray) -> pa.RecordBatch:
@@ -80,48 +82,63 @@ def _reduced(rows: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, trigger
     )
 
 
-def grouped(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    """Groups of rows sorted by (timing_point_id, subject_id, arrival)."""
+def grouped(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
+    """(rows, their groups) of rows sorted by (timing_point_id, subject_id, arrival); each row comes once."""
     held: pa.RecordBatch | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
         rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-        starts, key = _starts(rows, window)
+        starts, key, alone = _starts(rows, window)
         if len(starts) > 1:  # the last group may go on in the next batch
             cut = int(starts[-1])
-            yield _closed(rows, starts[:-1], cut, key)
+            yield rows.slice(0, cut), _closed(rows, starts[:-1], cut, key, alone)
             held = rows.slice(cut)
         else:
             held = rows
     if held is not None:
-        yield _reduced(held, np.zeros(1, np.int64), np.array([held.num_rows]), np.full(1, -1))
+        single = held.column("subject_id")[0].as_py() is None
+        yield held, _reduced(held, np.zeros(1, np.int64), np.array([held.num_rows]), np.full(1, 0 if single else -1))
 
 
-def _starts(rows: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray]:
+def _starts(rows: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     code = lambda c: rows.column(c).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    key = code("timing_point_id") * (rows.num_rows + 2) + code("subject_id")
-    return anchors(key, rows.column("detected_at_ns").to_numpy(zero_copy_only=False), window), key
+    subject = code("subject_id")
+    key = code("timing_point_id") * (rows.num_rows + 2) + subject
+    alone = subject < 0
+    return anchors(key, rows.column("detected_at_ns").to_numpy(zero_copy_only=False), window, alone), key, alone
 
 
-def _closed(rows: pa.RecordBatch, starts: np.ndarray, cut: int, key: np.ndarray) -> pa.RecordBatch:
+def _closed(rows: pa.RecordBatch, starts: np.ndarray, cut: int, key: np.ndarray, alone: np.ndarray) -> pa.RecordBatch:
     ends = np.append(starts[1:], cut)
-    trigger = np.where(key[ends] == key[starts], ends, -1)
-    part = rows.slice(0, cut)
-    made = _reduced(part, starts, ends, np.where(trigger < cut, trigger, -1))
+    trigger = np.where(alone[starts], starts, np.where(key[ends] == key[starts], ends, -1))
+    made = _reduced(rows.slice(0, cut), starts, ends, np.where(trigger < cut, trigger, -1))
     beyond = np.flatnonzero(trigger == cut)  # closed by the first row of the held group
     if not len(beyond):
         return made
     k = int(beyond[0])
-    names = made.schema.names
     out = []
-    for name, column in zip(names, made.columns):
+    for name, column in zip(made.schema.names, made.columns):
         if name in ("trigger_arrival", "trigger_producer_id", "is_open"):
             values = column.to_pylist()
             values[k] = False if name == "is_open" else rows.column("arrival" if name == "trigger_arrival" else "producer_id")[cut].as_py()
             column = pa.array(values, column.type)
         out.append(column)
-    return pa.RecordBatch.from_arrays(out, names=names)
+    return pa.RecordBatch.from_arrays(out, names=made.schema.names)
+
+
+def _log_rows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
+    names = [c.split()[0] for c in _LOG.split(", ")]
+    for rows, groups in grouped(batches, window):
+        n = rows.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [rows.column("arrival"), pa.array(np.zeros(n, bool)), rows.column("producer_id"), pa.repeat("Detection", n), rows.column("detection_id"), pa.nulls(n, pa.string()), rows.column("timing_point_id"), rows.column("subject_id"), rows.column("detected_at_ns")], names=names
+        )
+        done = groups.filter(pc.invert(groups.column("is_open")))
+        m = done.num_rows
+        yield pa.RecordBatch.from_arrays(
+            [done.column("trigger_arrival"), pa.array(np.ones(m, bool)), done.column("trigger_producer_id"), pa.repeat("Crossing", m), pa.nulls(m, pa.string()), pc.list_element(done.column("detection_ids"), 0) if m else pa.nulls(0, pa.string()), done.column("timing_point_id"), done.column("subject_id"), done.column("crossed_at_ns")], names=names
+        )
 
 
 def anonymous_crossings(detections: DataFrame) -> DataFrame:
@@ -133,19 +150,26 @@ def anonymous_crossings(detections: DataFrame) -> DataFrame:
     )
 
 
-def subject_crossings(detections: DataFrame, window_ns: int = DEFAULT_WINDOW_NS) -> DataFrame:
+def _sorted(detections: DataFrame) -> DataFrame:
+    """Rows of a key together and in order of arrival; rows without subject are spread, as none waits for another."""
     loop = F.when(F.col("sensor.kind") == "LoopTransponder", F.col("sensor.rssi_dbm")).cast("int")
-    rows = detections.where("subject_id IS NOT NULL").withColumn("rssi", loop).select(*_COLUMNS)
-    rows = rows.repartition("timing_point_id", "subject_id").sortWithinPartitions("timing_point_id", "subject_id", "arrival")
-    return rows.mapInArrow(lambda batches: grouped(batches, window_ns), _OUT)
+    rows = detections.withColumn("rssi", loop).select(*_COLUMNS)
+    spread = F.coalesce("subject_id", F.concat(F.lit("\x00"), F.col("arrival").cast("string")))
+    return rows.repartition("timing_point_id", spread).sortWithinPartitions("timing_point_id", "subject_id", "arrival")
 
 
 def crossings(detections: DataFrame, window_ns: int = DEFAULT_WINDOW_NS, emit_open: bool = False) -> DataFrame:
-    """All crossings of gate survivors. Without ``emit_open`` a key's last group, which nothing has closed, is left out,
-    as a running node never flushes."""
-    made = subject_crossings(detections, window_ns)
+    """All crossings of gate survivors, named and anonymous, in one pass. Without ``emit_open`` a key's last group, which
+    nothing has closed, is left out, as a running node never flushes."""
+    made = _sorted(detections).mapInArrow(lambda batches: (groups for _, groups in grouped(batches, window_ns)), _OUT)
     if not emit_open:
         made = made.where("NOT is_open")
-    made = made.unionByName(anonymous_crossings(detections))
     ident = crossing_id(F.col("timing_point_id"), F.col("subject_id"), F.element_at("detection_ids", 1))
     return made.select(ident.alias("crossing_id"), *made.columns)
+
+
+def log_rows(detections: DataFrame, window_ns: int = DEFAULT_WINDOW_NS) -> DataFrame:
+    """Gate survivors and the crossings that they close, in one pass: what the log gets, but for offsets."""
+    made = _sorted(detections).mapInArrow(lambda batches: _log_rows(batches, window_ns), _LOG)
+    ident = F.when(F.col("is_derived"), crossing_id(F.col("timing_point_id"), F.col("subject_id"), F.col("first_detection_id")))
+    return made.withColumn("crossing_id", ident).select("trigger_arrival", "is_derived", F.coalesce("detection_id", "crossing_id").alias("tie"), "producer_id", "kind", "detection_id", "crossing_id", "timing_point_id", "subject_id", "at_ns")

@@ -6,9 +6,9 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators.crossings import DEFAULT_WINDOW_NS, crossings
+from ..operators.crossings import DEFAULT_WINDOW_NS, crossings, log_rows
 from ..operators.gate import accepted, gate_decisions
-from ..operators.log import log_entries
+from ..operators.log import with_offsets
 
 
 @dataclass
@@ -23,5 +23,5 @@ def ingest(detections: DataFrame, window_ns: int = DEFAULT_WINDOW_NS, seed: Data
     """Lazy plans of every step; a restart passes the high-water marks and the next offset."""
     decided = gate_decisions(detections, seed)
     good = accepted(decided)
-    made = crossings(good, window_ns, emit_open)
-    return Ingested(decided, good, made, log_entries(good, made, base_offset))
+    log = with_offsets(log_rows(good, window_ns), base_offset).drop("tie")
+    return Ingested(decided, good, crossings(good, window_ns, emit_open), log)
