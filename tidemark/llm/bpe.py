@@ -20,12 +20,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import flat_bytes, gathered, ranges
+from .flat import flat_bytes, gathered, gathered_ranges
 
 #: Folder of the public tokenizers; a parameter of every operator that needs one.
 TOKENIZERS = "/opt/tokenizers"
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WIDE = 1 << 20
+#: Text bytes whose distinct words are replayed together.
+REPLAY_BYTES = 8 << 20
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
@@ -211,14 +213,14 @@ class Merges:
         ids, at = self.replay(*flat_bytes(coded.dictionary))
         size = np.diff(at)
         per_word = size[code]
-        tokens = ids[ranges(at[code], per_word)]
+        tokens = gathered_ranges(ids, at[code], per_word)
         total = np.concatenate(([0], np.cumsum(per_word)))
         return tokens, total[np.searchsorted(starts, offsets)]
 
     def decode(self, tokens: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The inverse of encode: bytes and their offsets."""
         size = self.piece_at[tokens + 1] - self.piece_at[tokens] if len(tokens) else np.zeros(0, np.int64)
-        data = self.piece_bytes[ranges(self.piece_at[tokens], size)] if len(tokens) else np.zeros(0, np.uint8)
+        data = gathered_ranges(self.piece_bytes, self.piece_at[tokens], size) if len(tokens) else np.zeros(0, np.uint8)
         return data, np.concatenate(([0], np.cumsum(size)))[offsets]
 
 
@@ -234,7 +236,7 @@ def vocabulary(tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k.json") ->
 def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """For each chunk: the rows, the bytes and offsets of their texts, the tokens and offsets of these."""
     model = merges(path)
-    for batch in gathered(batches):
+    for batch in gathered(batches, most=REPLAY_BYTES):
         data, offsets = flat_bytes(batch.column("text"))
         yield batch, data, offsets, *model.encode(data, offsets)
 

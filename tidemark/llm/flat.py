@@ -97,6 +97,20 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def gathered_ranges(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = 1 << 20) -> np.ndarray:
+    """source[ranges(starts, lengths)] with index arrays of about ``most`` elements at a time."""
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.empty(total, source.dtype)
+    at = 0
+    while at < len(ends):
+        done = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        out[done : int(ends[stop - 1])] = source[ranges(starts[at:stop], lengths[at:stop])]
+        at = stop
+    return out
+
+
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """The row of each element, by the rows' offsets."""
     return np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
