@@ -41,9 +41,9 @@ def _hash(s: str) -> int:
 
 
 def word_features(known: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each distinct word: present ones (word, start of the word), and its shape."""
+    """Features of each distinct word: present ones (word, two starts of the word), and its shape."""
     n = len(known)
-    present, shape = np.zeros((n, 2), np.int32), np.zeros(n, np.int32)
+    present, shape = np.zeros((n, 3), np.int32), np.zeros(n, np.int32)
     shapes: dict[str, int] = {}
     for k, w in enumerate(known):
         s = _shape(w)
@@ -53,8 +53,10 @@ def word_features(known: list[str]) -> tuple[np.ndarray, np.ndarray]:
         core = w.lower().strip(".,;:!?\"'()|#$%&*")
         if core:
             present[k, 0] = _hash("w" + core)
-            if len(core) > 6:
-                present[k, 1] = _hash("p" + core[:5])
+            if len(core) > 4:
+                present[k, 1] = _hash("p" + core[:4])
+            if len(core) > 5:
+                present[k, 2] = _hash("p" + core[:5])
     return present, shape
 
 
@@ -68,7 +70,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     size = np.diff(offsets)
     once = np.unique(rows * len(present) + codes)
     r, c = np.divmod(once, len(present))
-    p = np.concatenate((r * DIMENSIONS + present[c, 0], r * DIMENSIONS + present[c, 1]))
+    p = np.concatenate([r * DIMENSIONS + present[c, j] for j in range(present.shape[1])])
     p = np.unique(p[p % DIMENSIONS > 0])
     s, count = np.unique(rows * DIMENSIONS + shape[codes], return_counts=True)
     same = np.concatenate(([False], (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1])))
@@ -92,7 +94,7 @@ class Ordinal:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, rows: np.ndarray, feats: np.ndarray, values: np.ndarray, grades: np.ndarray, steps: int = 300, l1: float = 3e-3, least: float = 0.006) -> Ordinal:
+    def fit(cls, rows: np.ndarray, feats: np.ndarray, values: np.ndarray, grades: np.ndarray, steps: int = 150, l1: float = 2e-3, least: float = 0.006) -> Ordinal:
         """Accelerated proximal gradient with an L1 penalty; features in fewer than 3 texts, or less than that share of them, are left out."""
         n = len(grades)
         weights = np.zeros(DIMENSIONS)
@@ -116,10 +118,19 @@ class Ordinal:
         rate = 4.0 / (1.0 + norm) * 8
         y, before, momentum = w.copy(), w.copy(), 1.0
         best = np.inf
-        for _ in range(steps):
+        penalty = np.full(d, l1)
+        for step in range(5 * steps):
+            if step == steps:  # the rest is for the features found so far, the stronger ones shrunk less
+                used, scale = used[before != 0], scale[before != 0]
+                still = (before != 0)[f]
+                place = np.cumsum(before != 0) - 1
+                r, v, f, d = r[still], v[still], place[f[still]], len(used)
+                before = before[before != 0]
+                penalty = l1 * 0.1 / (0.1 + np.abs(before))
+                y, momentum, best = before.copy(), 1.0, np.inf
             score = np.bincount(r, weights=v * y[f], minlength=n)
             slack = _sigmoid(score - thresholds[:, None]) - above
-            loss = -np.sum(weight * np.log(np.clip(np.where(above > 0, slack + above, 1 - slack), 1e-9, 1))) / n + l1 * np.abs(y).sum()
+            loss = -np.sum(weight * np.log(np.clip(np.where(above > 0, slack + above, 1 - slack), 1e-9, 1))) / n + (penalty * np.abs(y)).sum()
             if loss > best * 1.5 + 1e-9:
                 rate, momentum, y = rate / 2, 1.0, before.copy()
                 best = np.inf
@@ -129,7 +140,7 @@ class Ordinal:
             grad = np.bincount(f, weights=v * slack.sum(axis=0)[r], minlength=d) / n
             thresholds = np.sort(thresholds + 2.0 * slack.sum(axis=1) / n)
             new = y - rate * grad
-            new = np.sign(new) * np.maximum(np.abs(new) - rate * l1, 0)
+            new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
             ahead = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
             y = new + (momentum - 1) / ahead * (new - before)
             before, momentum = new, ahead
