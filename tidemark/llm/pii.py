@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import flat_bytes, gathered
-from .shared import written
+from .shared import sampled, written
 
 KINDS = ("SECRET", "KEY", "EMAIL", "IP", "IBAN", "CARD", "SSN", "PHONE", "NAME")
 LABELERS = ("regex", "checksum", "gazetteer", "context", "boundary")
@@ -263,7 +263,8 @@ def trained(found: DataFrame, most: int) -> np.ndarray:
     """The span classifier: reliabilities from the votes of all proposals, weights from at most ``most`` of them, by hash."""
     counts = {(r.kind, r.votes): r["count"] for r in found.groupBy("kind", "votes").count().collect()}
     truth = posteriors(counts)
-    sample = found.orderBy(F.xxhash64("doc_id", "start", "end"), "doc_id", "start").select("kind", "votes", "features").limit(most).collect()
+    chosen = sampled(found, ["doc_id", "start", "end"], most, sum(counts.values()))
+    sample = sorted(chosen.select("kind", "votes", "features").collect())[:most]
     return fit_spans([r.features for r in sample], [truth[r.kind, r.votes] for r in sample])
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import gathered, row_of, words
+from .shared import sampled
 
 DIMENSIONS = 1 << 18
 GRADES = 3
@@ -155,13 +156,13 @@ class Ordinal:
 
 
 def rated(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Features and grades of at most ``most`` rated texts, chosen by the hash of their ids.
+    """Features and grades of about ``most`` rated texts, chosen by the hash of their ids.
 
     Several ratings of an id count as the worst of them; null ratings, ids and texts are left out, a null ``toxic`` counts as 0.
     """
     grade = F.when(F.col("quality") <= 0, 0).when(F.col("toxic") > 0, 1).otherwise(2)
     ratings = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_rated")).agg(F.min(grade).alias("grade"))
-    chosen = ratings.orderBy(F.xxhash64("_rated"), "_rated").limit(most)
+    chosen = sampled(ratings, ["_rated"], most, ratings.count())
     texts = docs.where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("_rated")).dropDuplicates(["doc_id"]).select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +179,7 @@ def rated(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Ordinal:
-    """The model of at most ``most`` rated texts (a bound on the fit, not on what is scored)."""
+    """The model of about ``most`` rated texts (a bound on the fit, not on what is scored)."""
     return Ordinal.fit(*rated(docs, labels, most))
 
 

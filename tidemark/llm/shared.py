@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _made: list = []
 
@@ -33,6 +34,14 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def sampled(df: DataFrame, keys: list[str], most: int, n: int) -> DataFrame:
+    """About ``most`` of the ``n`` rows, by the hash of their keys, all if there are no more. The filter runs where the
+    rows are, so what is left is bounded before anything is moved."""
+    if n <= most:
+        return df
+    return df.where(F.xxhash64(*keys).bitwiseAND((1 << 62) - 1) < int(0.97 * most / n * (1 << 62)))
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _made:
