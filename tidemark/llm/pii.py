@@ -18,12 +18,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import flat_bytes, gathered
+from .flat import byte_slices, flat_bytes, gathered
 from .shared import sampled, written
 
 KINDS = ("SECRET", "KEY", "EMAIL", "IP", "IBAN", "CARD", "SSN", "PHONE", "NAME")
 LABELERS = ("regex", "checksum", "gazetteer", "context", "boundary")
 HASHED = 1 << 12
+#: Text bytes that are searched at a time.
+STEP_BYTES = 4 << 20
 _TITLES = r"(?:Mrs|Mr|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora|Señor)"
 #: What the proposals look like; of overlapping spans the first kind's counts.
 PROPOSALS = (
@@ -251,7 +253,7 @@ def proposals(docs: DataFrame) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, most=STEP_BYTES):
             found = list(spans(batch.column("text")))
             r, a, b, _, _, k, v, f = zip(*found) if found else ((),) * 8
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r, pa.int64())), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(k, pa.string()), pa.array(v, pa.string()), pa.array(f, pa.list_(pa.int32()))], names=["doc_id", "start", "end", "kind", "votes", "features"])
@@ -316,12 +318,12 @@ def pii_redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", leng
     w = trained(written(proposals(own)), most)
     sent = own.sparkSession.sparkContext.broadcast(w)
 
-    @F.pandas_udf("string")
-    def clean(texts):
-        import pandas as pd
-
-        column = pa.array(texts, pa.string())
-        return pd.Series(redacted(column, sent.value, accept), dtype=object)
+    @F.arrow_udf("string")
+    def clean(texts: pa.Array) -> pa.Array:
+        out: list[str | None] = []
+        for piece in byte_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), most=STEP_BYTES):
+            out += redacted(piece.column("text"), sent.value, accept)
+        return pa.array(out, pa.string())
 
     cleaned = docs.select(*[docs[f"`{c}`"].alias(f"_c{i}") for i, c in enumerate(docs.columns)], clean(docs[text]).alias("_clean"))
     out = []

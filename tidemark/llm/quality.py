@@ -15,12 +15,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import gathered, row_of, words
+from .flat import byte_slices, gathered, row_of, words
 from .shared import sampled
 
 DIMENSIONS = 1 << 18
 GRADES = 3
 _KIND = str.maketrans({**{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "9" for c in "0123456789"}})
+#: Text bytes that one step has features of; distinct word counts of a step are several times as large as its text.
+STEP_BYTES = 4 << 20
 #: Strength of the features that are shares of a text's words, not presences.
 SHARE = 4.0
 
@@ -166,7 +168,7 @@ def rated(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np
     texts = docs.where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("_rated")).dropDuplicates(["doc_id"]).select("grade", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, most=STEP_BYTES):
             r, f, v, size = features(batch.column("text"))
             ends = np.searchsorted(r, np.arange(len(size) + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(pa.array(ends), pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.float32)))], names=["grade", "f", "v"])
@@ -197,7 +199,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     sent = own.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, most=STEP_BYTES):
             p = sent.value.tails(batch.column("text"))
             none = batch.column("text").is_null().to_numpy(zero_copy_only=False)
             cols = [pa.array(x, pa.float64(), mask=none) for x in (p.sum(axis=1), p[:, 0], p[:, 1])]
@@ -211,25 +213,12 @@ def quality_filter(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sent = own.sparkSession.sparkContext.broadcast(fit_quality(own, labels.select("doc_id", "quality", "toxic"), most))
 
-    @F.pandas_udf("boolean")
-    def accepted(texts):
-        column = pa.array(texts, pa.string())
-        good = np.zeros(len(column), bool)
-        for a, b in _cuts(column):
-            piece = column.slice(a, b - a)
-            good[a:b] = (sent.value.tails(piece)[:, 1] >= accept) & ~piece.is_null().to_numpy(zero_copy_only=False)
-        import pandas as pd
-
-        return pd.Series(good)
+    @F.arrow_udf("boolean")
+    def accepted(texts: pa.Array) -> pa.Array:
+        good: list[np.ndarray] = [np.zeros(0, bool)]
+        for piece in byte_slices(pa.RecordBatch.from_arrays([texts], names=["text"]), most=STEP_BYTES):
+            column = piece.column("text")
+            good.append((sent.value.tails(column)[:, 1] >= accept) & ~column.is_null().to_numpy(zero_copy_only=False))
+        return pa.array(np.concatenate(good))
 
     return docs.where(accepted(docs[text]))
-
-
-def _cuts(column: pa.Array) -> list[tuple[int, int]]:
-    from .flat import byte_slices
-
-    out, at = [], 0
-    for piece in byte_slices(pa.RecordBatch.from_arrays([column], names=["text"])):
-        out.append((at, at + piece.num_rows))
-        at += piece.num_rows
-    return out

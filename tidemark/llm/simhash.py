@@ -27,6 +27,8 @@ BITS, BYTES = 256, 32
 PUNCTUATION = ".,;:!?\"'`()[]{}<>|#$%&*+-=/\\~^_@…–—«»¿¡“”‘’"
 #: Fingerprints in a prefix up to which all pairs are compared; beyond it the prefix is split.
 CROWD = 4096
+#: Text bytes that are hashed at a time.
+STEP_BYTES = 6 << 20
 
 
 def _mixed(x: np.ndarray, k: int) -> np.ndarray:
@@ -68,7 +70,7 @@ def hashed(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of (doc_id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in gathered(batches):
+        for batch in gathered(batches, most=STEP_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text")), pa.binary())], names=["doc_id", "fp"])
 
     return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary")
