@@ -116,7 +116,7 @@ def best_fit_packing(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = counts.select("length", "salt", before.alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "start")) - 1
-    ranked = pieces.where("length > 0").withColumn("rank", rank).join(F.broadcast(shifts), ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    ranked = pieces.where("length > 0").withColumn("rank", rank).join(shifts, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     here = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_first")) & (F.col("rank") < F.col("p_first") + F.col("p_n"))
     nth = F.col("rank") - F.col("p_first")
     packed = ranked.join(F.broadcast(plan), here).select("doc_id", "start", "length", (F.col("p_bin") + F.expr("(rank - p_first) div p_each")).alias("bin_id"), (F.col("p_offset") + F.pmod(nth, F.col("p_each")) * F.col("length")).alias("bin_offset"))
