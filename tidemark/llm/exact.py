@@ -85,12 +85,22 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     return lost.unionByName(alone).unionByName(rest)
 
 
-def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = 256, copies: int = 32, winner_bytes: int = 32 << 20) -> DataFrame:
-    """The rows that exact_duplicates keeps, with all columns of the input. Ties on the id go by the hash of the row."""
+def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = 256, copies: int = 32, winner_bytes: int = 32 << 20, most_sent: int = 4 << 20) -> DataFrame:
+    """The rows that exact_duplicates keeps, with all columns of the input. Ties on the id go by the hash of the row.
+
+    Only texts whose 64-bit digest occurs more than once are shuffled, if the list of these digests is no longer than
+    ``most_sent`` (8 bytes each, broadcast); else all that the heavy texts leave.
+    """
     rows = _marked(docs, doc_id, text, heavy, copies, winner_bytes).where("_winner IS NULL")
-    place, _ = _rank([F.xxhash64("_row")])
+    contested = written(rows.where("_text IS NOT NULL").groupBy("_h").count().where("count > 1").select(F.col("_h").alias("_ch")))
+    here = F.col("_h") == F.col("_ch")
+    few = contested.count() <= most_sent
+    shared = rows.join(F.broadcast(contested), here, "left_semi") if few else rows
     digest = F.when(F.col("_text").isNotNull(), F.unhex(F.sha2("_text", 256)))
     # A null text gets a digest of its own kind from the row's place, as it is no copy of anything.
     single = F.coalesce(digest, F.concat(F.lit(b"null"), F.encode(F.monotonically_increasing_id().cast("string"), "utf-8")))
-    kept = rows.select("_row", "_id", single.alias("_digest")).withColumn("_place", place).where("_place = 1")
+    place, _ = _rank([F.xxhash64("_row")])
+    kept = shared.select("_row", "_id", single.alias("_digest")).withColumn("_place", place).where("_place = 1").select("_row")
+    if few:
+        kept = kept.unionByName(rows.join(F.broadcast(contested), here, "left_anti").select("_row"))
     return kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])
