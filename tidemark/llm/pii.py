@@ -7,6 +7,7 @@ each kind; its posteriors are the soft labels of a logistic classifier on hashed
 
 from __future__ import annotations
 
+import bisect
 import math
 import re
 from collections import defaultdict
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .flat import byte_slices, flat_bytes, gathered
+from .flat import byte_slices, gathered
 from .shared import sampled, written
 
 KINDS = ("SECRET", "KEY", "EMAIL", "IP", "IBAN", "CARD", "SSN", "PHONE", "NAME")
@@ -40,8 +41,17 @@ PROPOSALS = (
     ("PHONE", re.compile(r"(?<![\w+(.])((?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])(?:\d{2,4}[ .-]?){1,3}\d{2,4}|\+\d{8,14})(?![\w])")),
     ("NAME", re.compile(_TITLES + r"\.? ([A-ZÀ-Þ][^\W\d_]+(?: [A-ZÀ-Þ][^\W\d_]+)?)")),
 )
-#: Where a proposal without a digit, an at sign, an equals sign or a colon may be.
-_LITERALS = tuple(x.encode() for x in ("AKIA", "Mrs. ", "Mr. ", "Ms. ", "Dr. ", "Prof. ", "Mrs ", "Mr ", "Dr ", "Herr ", "Frau ", "Madame ", "Monsieur ", "Señor"))
+_DIGIT = re.compile(r"\d")
+_ASSIGNED = re.compile(r"[:=]")
+
+
+def _worth(text: str) -> list[bool]:
+    """Which of PROPOSALS can match at all, by characters that each match of them has."""
+    digit = _DIGIT.search(text) is not None
+    key = "AKIA" in text or "ASIA" in text or "sk-" in text or "xox" in text or "_" in text
+    return [_ASSIGNED.search(text) is not None, key, True, "@" in text, digit and "." in text, digit, digit, digit, digit, True]
+
+
 _STRICT = {
     "SECRET": re.compile(r"(?=.*\d)[\w+/=.-]{8,}"),
     "KEY": re.compile(r"(?:AKIA|ASIA)[A-Z2-7]{16}|gh[pousr]_[A-Za-z0-9]{36,}|sk-[A-Za-z0-9_-]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}"),
@@ -141,66 +151,26 @@ def span_features(kind: str, value: str, before: str, after: str, pattern: str)
 def proposed(text: str) -> list[tuple[int, int, str]]:
     """Spans that don't overlap, by the order of PROPOSALS."""
     taken: list[tuple[int, int, str]] = []
-    for kind, pattern in PROPOSALS:
-        for m in pattern.finditer(text):
+    for (kind, pattern), worth in zip(PROPOSALS, _worth(text)):
+        for m in pattern.finditer(text) if worth else ():
             a, b = m.span(1)
             if kind == "CARD" or kind == "IBAN":
                 b = a + len(text[a:b].rstrip(" -"))
             if kind == "SECRET":
                 b = a + max(1, len(text[a:b].rstrip(".,;:!?)]}#$%&*")))
-            if not any(a < y and x < b for x, y, _ in taken):
-                taken.append((a, b, kind))
-    return sorted(taken)
-
-
-def windows(data: np.ndarray, offsets: np.ndarray, left: int = 64, right: int = 24) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first byte, last byte) of the stretches of text around anything that a proposal can be made of."""
-    marks = np.zeros(256, bool)
-    marks[[*b"0123456789@=:"]] = True
-    seeds = np.flatnonzero(marks[data])
-    whole, literal = data.tobytes(), []
-    for x in _LITERALS:
-        at = whole.find(x)
-        while at >= 0:
-            literal += [at, at + len(x) - 1]
-            at = whole.find(x, at + len(x))
-    if literal:
-        seeds = np.unique(np.concatenate((seeds, np.array(literal, np.int64))))
-    if not len(seeds):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    row = np.searchsorted(offsets, seeds, side="right") - 1
-    blank = np.flatnonzero(data <= 0x20)
-    k = np.searchsorted(blank, seeds)
-    start = np.where(k > 0, blank[np.maximum(k - 1, 0)] + 1, 0) if len(blank) else np.zeros(len(seeds), np.int64)
-    end = np.where(k < len(blank), blank[np.minimum(k, len(blank) - 1)], len(data)) if len(blank) else np.full(len(seeds), len(data))
-    start = np.maximum(start - left, offsets[row])
-    end = np.minimum(end + right, offsets[row + 1])
-    reach = np.maximum.accumulate(end)
-    new = np.concatenate(([True], (start[1:] > reach[:-1]) | (row[1:] != row[:-1])))
-    first = np.flatnonzero(new)
-    return row[first], start[first], reach[np.append(first[1:], len(seeds)) - 1]
-
-
-def spans(column: pa.Array) -> Iterator[tuple[int, int, int, int, int, str, str, list[int]]]:
-    """(row, first character, end, first byte, end byte, kind, votes, features) of every proposal, in order."""
-    data, offsets = flat_bytes(column)
-    rows, starts, ends = windows(data, offsets)
-    if not len(rows):
-        return
-    whole = data.tobytes()
-    chars = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80, dtype=np.int32)))
-    for row, a, b in zip(rows.tolist(), starts.tolist(), ends.tolist()):
-        while a > offsets[row] and (whole[a] & 0xC0) == 0x80:
-            a -= 1
-        while b < offsets[row + 1] and (whole[b] & 0xC0) == 0x80:
-            b += 1
-        piece = whole[a:b].decode("utf-8", "replace")
-        first = int(chars[a] - chars[offsets[row]])
-        for x, y, kind in proposed(piece):
-            before, after = piece[max(0, x - 48) : x], piece[y : y + 4]
-            pattern = votes(kind, piece[x:y], before, after)
-            at = a + len(piece[:x].encode())
-            yield row, first + x, first + y, at, at + len(piece[x:y].encode()), kind, pattern, span_features(kind, piece[x:y], before, after, pattern)
+            k = bisect.bisect(taken, (a,))
+            if not (k and taken[k - 1][1] > a or k < len(taken) and taken[k][0] < b):
+                taken.insert(k, (a, b, kind))
+    return taken
+
+
+def spans(column: pa.Array) -> Iterator[tuple[int, int, int, str, str, list[int]]]:
+    """(row, first character, end, kind, votes, features) of every proposal in the whole texts, in order."""
+    for row, text in enumerate(column.to_pylist()):
+        for x, y, kind in proposed(text) if text else ():
+            before, after = text[max(0, x - 48) : x], text[y : y + 4]
+            pattern = votes(kind, text[x:y], before, after)
+            yield row, x, y, kind, pattern, span_features(kind, text[x:y], before, after, pattern)
 
 
 def posteriors(counts: dict[tuple[str, str], int], rounds: int = 50) -> dict[tuple[str, str], float]:
@@ -255,7 +225,7 @@ def proposals(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, most=STEP_BYTES):
             found = list(spans(batch.column("text")))
-            r, a, b, _, _, k, v, f = zip(*found) if found else ((),) * 8
+            r, a, b, k, v, f = zip(*found) if found else ((),) * 6
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(r, pa.int64())), pa.array(a, pa.int32()), pa.array(b, pa.int32()), pa.array(k, pa.string()), pa.array(v, pa.string()), pa.array(f, pa.list_(pa.int32()))], names=["doc_id", "start", "end", "kind", "votes", "features"])
 
     return docs.mapInArrow(run, f"doc_id {kind}, start int, end int, kind string, votes string, features array<int>")
@@ -298,7 +268,7 @@ def redacted(column: pa.Array, w: np.ndarray, accept: float) -> list[str | None]
     """The texts with every accepted span replaced by its kind in angle brackets."""
     texts = column.to_pylist()
     by_row: dict[int, list[tuple[int, int, str]]] = defaultdict(list)
-    for row, a, b, _, _, kind, _, feats in spans(column):
+    for row, a, b, kind, _, feats in spans(column):
         if _probability(w, feats) >= accept:
             by_row[row].append((a, b, kind))
     for row, own in by_row.items():
