@@ -370,6 +370,17 @@ def test_pii_without_digits_nearby():
     assert found == ["Jones", "Smith", *(t.split()[2] for t in texts[2:])]
 
 
+def test_pii_spans_are_not_cut(spark):
+    names = ["Christopher Featherstonehaugh", "Bartholomew Wolfeschlegelsteinhausen", "Éléonore Désirée", "Ægidius Þórðarsonþórðarson"]
+    texts = [f"We met Mr. {n} in the town" for n in names] + ["the password: correcthorsebatterystapleofthehouse then"]
+    want = [*names, "correcthorsebatterystapleofthehouse"]
+    found = list(pii.spans(pa.array(texts)))
+    assert [texts[x[0]][x[1] : x[2]] for x in found] == want
+    assert all(x[4][4] == "+" for x in found)
+    clean = {r.doc_id: r.text for r in pii.pii_redact(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string"), accept=0.0).collect()}
+    assert clean == {**{k: "We met Mr. <NAME> in the town" for k in range(4)}, 4: "the password: <SECRET> then"}
+
+
 def test_reliabilities():
     counts = {("IP", "+++++"): 900, ("IP", "--0-+"): 400, ("IP", "+-0++"): 10}
     p = pii.posteriors(counts)
