@@ -115,6 +115,38 @@ def test_license_variants(spark):
     assert got == [(1, "MIT"), (2, "MIT"), (5, "MIT"), (5, "MIT")]
 
 
+def edits(words):
+    """All edits of one word, the notice itself included."""
+    yield words
+    for k in range(len(words) + 1):
+        yield [*words[:k], "other", *words[k:]]
+        if k < len(words):
+            yield [*words[:k], *words[k + 1 :]]
+            yield [*words[:k], "other", *words[k + 1 :]]
+
+
+def accepted_somewhere(own, template):
+    """verified() at every place and length, without its margin."""
+    return any(licenses.verified(own[a:b], template, 0, b - a, 12, 0.8) for a in range(len(own)) for b in range(a + 1, min(len(own), a + 2 * len(template)) + 1))
+
+
+def test_license_edits_that_verification_accepts(spark):
+    rng, texts = random.Random(5), {}
+    short = [(n, licenses.plain_words(t)) for n, t in licenses.TEMPLATES if len(t.split()) <= 12]
+    filler = [f"w{k}" for k in range(9)]
+    for name, words in short:
+        for own in edits(words):
+            texts[len(texts)] = (name, words, filler + own + filler)
+        for _ in range(12):  # two edits
+            texts[len(texts)] = (name, words, filler + rng.choice(list(edits(rng.choice(list(edits(words)))))) + filler)
+    want = {i for i, (_, template, own) in texts.items() if accepted_somewhere(own, template)}
+    rows = [(i, " ".join(own)) for i, (_, _, own) in texts.items()]
+    got = {(r.doc_id) for r in licenses.license_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert len(want) > 100 and want <= got
+    said = licenses.license_spans(spark.createDataFrame([(1, "Licensed under a CC BY 4.0 license"), (2, "Released under an MIT License")], "doc_id bigint, text string")).collect()
+    assert sorted((r.doc_id, r.license) for r in said) == [(1, "CC-BY-4.0"), (2, "MIT")]
+
+
 # --- tokens
 
 

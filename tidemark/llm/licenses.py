@@ -1,21 +1,23 @@
 """License scans by diagonal voting.
 
 Every rolling k-gram of words of every text is joined to the places where the license templates have it. Hits of a
-text and a template are counted by diagonal (place in the text less place in the template), neighbouring diagonals
-are merged, as words put in or left out move the diagonal, and the spans that get enough votes are verified word by
+text and a template are counted by bands of diagonals (place in the text less place in the template), as words put in
+or left out move the diagonal, and the stretches that get the votes that any accepted span has are verified word by
 word.
 """
 
 from __future__ import annotations
 
 import difflib
+import math
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import gathered, row_of, words
@@ -86,22 +88,50 @@ def text_grams(docs: DataFrame, k: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, place int, gram long")
 
 
-def candidates(docs: DataFrame, templates: tuple[tuple[str, str], ...], k: int, drift: int, gap: int, least: int) -> DataFrame:
-    """(doc_id, template, first, last, votes): merged diagonals with at least half the votes that an accepted span has."""
+def fewest_votes(length: int, k: int, least: int, share: float) -> int:
+    """The fewest k-grams that an accepted span has in common with a template of ``length`` words.
+
+    Of its equal words, in the text as in the template, at most ``equal / share`` words are covered. Each word that
+    only one of them has parts the equal words once at most, and a part loses k - 1 k-grams.
+    """
+    most = []
+    for equal in range(max(1, math.ceil(share * min(length, least) - 1e-9)), length + 1):
+        more = _covered(equal, share) - equal
+        parts = min(equal, more + min(more, length - equal) + 1)
+        most.append(max(0, equal - parts * (k - 1)))
+    return min(most)
+
+
+def _covered(words_: int, share: float) -> int:
+    """The most words that an accepted span with so many equal words covers."""
+    return int(words_ / share + 1e-9)
+
+
+def gram_size(lengths: list[int], k: int, least: int, share: float) -> int:
+    """The longest k-grams, up to ``k``, of which accepted spans of all templates have at least one."""
+    return next((n for n in range(k, 1, -1) if all(fewest_votes(m, n, least, share) for m in lengths)), 1)
+
+
+def candidates(docs: DataFrame, templates: tuple[tuple[str, str], ...], k: int, drift: int, least: int, share: float) -> DataFrame:
+    """(doc_id, template, first, last, votes): bands of diagonals with at least the votes that an accepted span has.
+
+    The diagonals of an accepted span differ by at most the words that it has more than the template, or less; bands
+    are twice as wide and overlap by half, so that one has all its votes.
+    """
+    known = [plain_words(text) for _, text in templates]
+    if not all(known):
+        raise ValueError(f"template {known.index([])} has no words")
+    k = gram_size([len(own) for own in known], k, least, share)
     rows = []
-    for t, (_, text) in enumerate(templates):
-        own = plain_words(text)
-        if len(own) < k:
-            raise ValueError(f"template {t} has fewer than {k} words")
-        votes = max(1, (min(len(own), least) - k + 2) // 2)
-        rows += [(t, p, g, votes) for p, g in enumerate(_grams(_word_hashes(own), k).tolist())]
-    places = docs.sparkSession.createDataFrame(rows, "template int, t_place int, t_gram long, least int")
+    for t, own in enumerate(known):
+        votes, wide = max(1, fewest_votes(len(own), k, least, share)), max(drift, _covered(len(own), share) - len(own)) + 1
+        rows += [(t, p, g, votes, wide) for p, g in enumerate(_grams(_word_hashes(own), k).tolist())]
+    places = docs.sparkSession.createDataFrame(rows, "template int, t_place int, t_gram long, least int, wide int")
     hits = text_grams(docs, k).join(F.broadcast(places), F.col("gram") == F.col("t_gram"))
-    diagonals = hits.groupBy("doc_id", "template", (F.col("place") - F.col("t_place")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("place").alias("first"), (F.max("place") + k).alias("last"), F.first("least").alias("least"))
-    w = Window.partitionBy("doc_id", "template").orderBy("diagonal", "first")
-    apart = (F.col("diagonal") - F.lag("diagonal").over(w) > drift) | (F.col("first") - F.max("last").over(w.rowsBetween(Window.unboundedPreceding, -1)) > gap)
-    merged = diagonals.withColumn("new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("group", F.sum("new").over(w))
-    return merged.groupBy("doc_id", "template", "group").agg(F.sum("votes").alias("votes"), F.min("first").alias("first"), F.max("last").alias("last"), F.first("least").alias("least")).where("votes >= least").select("doc_id", "template", "first", "last", "votes")
+    band = F.floor((F.col("place") - F.col("t_place")) / F.col("wide"))
+    banded = hits.select("doc_id", "template", "place", "least", F.explode(F.array(band, band - 1)).alias("band"))
+    counted = banded.groupBy("doc_id", "template", "band").agg(F.count("*").alias("votes"), F.min("place").alias("first"), (F.max("place") + k).alias("last"), F.first("least").alias("least"))
+    return counted.where("votes >= least").select("doc_id", "template", "first", "last", "votes")
 
 
 def verified(own: list[str], template: list[str], first: int, last: int, least: int, share: float) -> tuple[int, int, float] | None:
@@ -121,17 +151,89 @@ def verified(own: list[str], template: list[str], first: int, last: int, least:
     return a + begin, a + end, score
 
 
+def _accepted(piece: list[str], template: list[str], least: int, share: float) -> tuple[int, int, float] | None:
+    """Of the runs of matching blocks that ``verified`` would accept, the one with the most equal words."""
+    blocks = [b for b in difflib.SequenceMatcher(None, piece, template, autojunk=False).get_matching_blocks() if b.size]
+    need, best = share * min(len(template), least), None
+    for i, x in enumerate(blocks):
+        equal = 0
+        for y in blocks[i:]:
+            equal += y.size
+            covered = max(y.a + y.size - x.a, y.b + y.size - x.b)
+            if equal >= need and equal / covered >= share and (best is None or (equal, equal / covered) > best[:2]):
+                best = (equal, equal / covered, x.a, y.a + y.size)
+    return best and (best[2], best[3], best[1])
+
+
+def _in_window(own: list[str], template: list[str], a: int, b: int, least: int, share: float) -> tuple[int, int, float] | None:
+    """An accepted span within the words a to b: by all of them at once, else by the stretches that begin and end with words of the template."""
+    need, room = share * min(len(template), least), Counter(template)
+    if (room & Counter(own[a:b])).total() < need:
+        return None
+    found = _accepted(own[a:b], template, least, share)
+    if found:
+        return a + found[0], a + found[1], found[2]
+    long = _covered(len(template), share)
+    for x in range(a, b):
+        if own[x] not in room:
+            continue
+        stop = min(b, x + long)
+        for y in range(stop, x, -1) if long <= 16 else (stop,):
+            if own[y - 1] not in room and y < stop:
+                continue
+            if (room & Counter(own[x:y])).total() < need:
+                break
+            found = _accepted(own[x:y], template, least, share)
+            if found:
+                return x + found[0], x + found[1], found[2]
+    return None
+
+
+def all_verified(own: list[str], template: list[str], ranges: list[tuple[int, int]], gap: int, least: int, share: float) -> list[tuple[int, int, float]]:
+    """All spans (first, last, share of equal words) with the template around the ranges of a text's words.
+
+    Ranges at most ``gap`` words apart are searched in one go, in windows that hold any accepted span whole; what is
+    left before and after an accepted span is searched again.
+    """
+    long = _covered(len(template), share)
+    merged: list[list[int]] = []
+    for a, b in sorted(ranges):
+        a, b = max(0, a - long), min(len(own), b + long)
+        if merged and a <= merged[-1][1] + gap:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    out = []
+    for a, end in merged:
+        while a < end:
+            rest, after = [(a, min(a + 2 * long, end))], a + long
+            while rest:
+                x, y = rest.pop()
+                found = _in_window(own, template, x, y, least, share) if y > x else None
+                if not found:
+                    continue
+                rest.append((x, found[0]))
+                if found[0] < a + long:  # else the window may end within it: it is left to the next one
+                    out.append(found)
+                    after = max(after, found[1])
+                    if found[1] < a + long:
+                        rest.append((found[1], y))
+            a = after
+    return sorted(out)
+
+
 def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", templates: tuple[tuple[str, str], ...] = TEMPLATES, k: int = 3, drift: int = 3, gap: int = 12, least: int = 12, share: float = 0.8, most_sent: int = 1 << 20) -> DataFrame:
     """Where texts have a license's words: (doc_id, license, first_word, last_word, score).
 
     Places count the words of ``plain_words``, ``last_word`` excluded. A span is accepted if at least ``share`` of its
     words and of ``least`` words of the template (all, if it has fewer) are equal; of overlapping spans the one with
     the most equal words stays, then the better score, then the earlier template. Null and empty texts have none; ids
-    may be null or repeated: each row is verified by itself. Candidates (one row for each text with hits) are broadcast up to
+    may be null or repeated: each row is verified by itself. ``k`` is the longest that k-grams may be; they are shorter
+    if an accepted span could have none of that length. Candidates (one row for each text with hits) are broadcast up to
     ``most_sent`` rows and joined by a shuffle beyond. Other columns of the input are not read.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    found = candidates(own, templates, k, drift, gap, least)
+    found = candidates(own, templates, k, drift, least, share)
     per = written(found.groupBy(F.col("doc_id").alias("c_id")).agg(F.collect_list(F.struct("template", "first", "last")).alias("spans")))
     small = per.count() <= most_sent
     rows = own.join(F.broadcast(per) if small else per, F.col("doc_id").eqNullSafe(F.col("c_id"))).select("doc_id", "text", "spans")
@@ -146,10 +248,12 @@ def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
                     continue
                 own_words = plain_words(body)
                 good = []
+                places = defaultdict(list)
                 for s in spans:
-                    v = verified(own_words, known[s["template"]], s["first"], s["last"], least, share)
-                    if v:
-                        good.append((-round(v[2] * (v[1] - v[0])), -v[2], s["template"], v[0], v[1]))
+                    places[s["template"]].append((s["first"], s["last"]))
+                for t, ranges in places.items():
+                    for a, b, score in all_verified(own_words, known[t], ranges, gap, least, share):
+                        good.append((-round(score * (b - a)), -score, t, a, b))
                 taken: list[tuple[int, int]] = []
                 for _, score, t, a, b in sorted(good):
                     if not any(a < y and x < b for x, y in taken):
