@@ -147,6 +147,16 @@ def test_license_edits_that_verification_accepts(spark):
     assert sorted((r.doc_id, r.license) for r in said) == [(1, "CC-BY-4.0"), (2, "MIT")]
 
 
+@pytest.mark.parametrize("most_sent", [1 << 20, 0])
+def test_license_spans_of_repeated_ids_and_notices(spark, most_sent):
+    mit, filler = "Released under the MIT License.", " ".join(f"w{k}" for k in range(40))
+    bodies = [f"{mit} {filler}", f"{filler} {filler} {mit} {filler} {mit}", f"w1 Released under an MIT License {filler}", "All rights reserved. " * 2, "All rights reserved. " * 1000]
+    rows = [(i, t) for i in (None, 7) for t in bodies] + [(k, t) for k, t in enumerate(bodies)] + [(7, bodies[0])]
+    got = Counter((r.doc_id, r.first_word) for r in licenses.license_spans(spark.createDataFrame(rows, "doc_id bigint, text string"), most_sent=most_sent).collect())
+    places = [[0], [80, 125], [1], [0, 3], list(range(0, 3000, 3))]
+    assert got == Counter((i, p) for i, t in rows for p in places[bodies.index(t)])
+
+
 # --- tokens
 
 

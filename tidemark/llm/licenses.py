@@ -64,7 +64,7 @@ def _word_hashes(known: list[str]) -> np.ndarray:
 
 
 def text_grams(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, place, gram): all rolling k-grams of all texts; places count the words that take part."""
+    """(doc_id, row, place, gram): all rolling k-grams of all texts; places count the words that take part."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,9 +83,10 @@ def text_grams(docs: DataFrame, k: int) -> DataFrame:
             place = (at - first[rows[at]]).astype(np.int32)
             for a in range(0, len(at), 500_000):
                 b = a + 500_000
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(rows[at[a:b]])), pa.array(place[a:b]), pa.array(grams[at[a:b]])], names=["doc_id", "place", "gram"])
+                own = pa.array(rows[at[a:b]])
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(own), batch.column("row").take(own), pa.array(place[a:b]), pa.array(grams[at[a:b]])], names=["doc_id", "row", "place", "gram"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, place int, gram long")
+    return docs.mapInArrow(run, f"doc_id {kind}, row long, place int, gram long")
 
 
 def fewest_votes(length: int, k: int, least: int, share: float) -> int:
@@ -113,7 +114,7 @@ def gram_size(lengths: list[int], k: int, least: int, share: float) -> int:
 
 
 def candidates(docs: DataFrame, templates: tuple[tuple[str, str], ...], k: int, drift: int, least: int, share: float) -> DataFrame:
-    """(doc_id, template, first, last, votes): bands of diagonals with at least the votes that an accepted span has.
+    """(doc_id, row, template, first, last, votes): bands of diagonals with at least the votes that an accepted span has.
 
     The diagonals of an accepted span differ by at most the words that it has more than the template, or less; bands
     are twice as wide and overlap by half, so that one has all its votes.
@@ -129,9 +130,9 @@ def candidates(docs: DataFrame, templates: tuple[tuple[str, str], ...], k: int,
     places = docs.sparkSession.createDataFrame(rows, "template int, t_place int, t_gram long, least int, wide int")
     hits = text_grams(docs, k).join(F.broadcast(places), F.col("gram") == F.col("t_gram"))
     band = F.floor((F.col("place") - F.col("t_place")) / F.col("wide"))
-    banded = hits.select("doc_id", "template", "place", "least", F.explode(F.array(band, band - 1)).alias("band"))
-    counted = banded.groupBy("doc_id", "template", "band").agg(F.count("*").alias("votes"), F.min("place").alias("first"), (F.max("place") + k).alias("last"), F.first("least").alias("least"))
-    return counted.where("votes >= least").select("doc_id", "template", "first", "last", "votes")
+    banded = hits.select("doc_id", "row", "template", "place", "least", F.explode(F.array(band, band - 1)).alias("band"))
+    counted = banded.groupBy("doc_id", "row", "template", "band").agg(F.count("*").alias("votes"), F.min("place").alias("first"), (F.max("place") + k).alias("last"), F.first("least").alias("least"))
+    return counted.where("votes >= least").select("doc_id", "row", "template", "first", "last", "votes")
 
 
 def verified(own: list[str], template: list[str], first: int, last: int, least: int, share: float) -> tuple[int, int, float] | None:
@@ -228,15 +229,16 @@ def license_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", t
     Places count the words of ``plain_words``, ``last_word`` excluded. A span is accepted if at least ``share`` of its
     words and of ``least`` words of the template (all, if it has fewer) are equal; of overlapping spans the one with
     the most equal words stays, then the better score, then the earlier template. Null and empty texts have none; ids
-    may be null or repeated: each row is verified by itself. ``k`` is the longest that k-grams may be; they are shorter
+    may be null or repeated: each row is verified by itself, told from others of its id
+    by the hash of its text (rows equal in both have equal spans). ``k`` is the longest that k-grams may be; they are shorter
     if an accepted span could have none of that length. Candidates (one row for each text with hits) are broadcast up to
     ``most_sent`` rows and joined by a shuffle beyond. Other columns of the input are not read.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).withColumn("row", F.xxhash64("text"))
     found = candidates(own, templates, k, drift, least, share)
-    per = written(found.groupBy(F.col("doc_id").alias("c_id")).agg(F.collect_list(F.struct("template", "first", "last")).alias("spans")))
+    per = written(found.groupBy(F.col("doc_id").alias("c_id"), F.col("row").alias("c_row")).agg(F.collect_list(F.struct("template", "first", "last")).alias("spans")))
     small = per.count() <= most_sent
-    rows = own.join(F.broadcast(per) if small else per, F.col("doc_id").eqNullSafe(F.col("c_id"))).select("doc_id", "text", "spans")
+    rows = own.join(F.broadcast(per) if small else per, F.col("doc_id").eqNullSafe(F.col("c_id")) & (F.col("row") == F.col("c_row"))).select("doc_id", "text", "spans")
     names = [n for n, _ in templates]
     known = [plain_words(t) for _, t in templates]
 
