@@ -265,6 +265,24 @@ def test_near_copies_are_found_and_others_left(spark):
     assert all(got[i] == i for i in range(150))
 
 
+@pytest.mark.parametrize("n", [2, 200, 10_000, 1_200_000, 12_000_000, 1_000_000_000])
+def test_recall_at_the_radius(n):
+    depth, tries = simhash.plan(n, 64, 0.13, 0.95, 43 / 256, simhash.EDGE)
+    assert simhash.recall(depth, tries, 0.13) >= 0.95 and simhash.recall(depth, tries, 43 / 256) >= 0.9
+
+
+def test_pairs_at_the_radius_are_found(spark):
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2, (1000, 256), dtype=np.uint8)
+    copies = base.copy()
+    for own in copies:
+        own[rng.permutation(256)[:43]] ^= 1
+    rows = [(k, bytearray(f.tobytes())) for k, f in enumerate(np.packbits(np.concatenate((base, copies)), axis=1))]
+    edges = simhash.forest_edges(spark.createDataFrame(rows, "node bigint, fp binary"), 0.17, 0.13, 0.95, 64, 12_000_000)
+    found = {(r.a, r.b) for r in edges.collect()}
+    assert found <= {(k + 1000, k) for k in range(1000)} and len(found) >= 900
+
+
 def test_crowded_prefixes_are_split():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2, (300, 256), dtype=np.uint8)
