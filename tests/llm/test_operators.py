@@ -283,6 +283,17 @@ def test_pairs_at_the_radius_are_found(spark):
     assert found <= {(k + 1000, k) for k in range(1000)} and len(found) >= 900
 
 
+@pytest.mark.parametrize("most_sent", [4 << 20, 0])
+def test_rows_of_one_id_are_decided_by_their_texts(spark, most_sent):
+    x, y, z = (" ".join(f"{c}{k}" for k in range(120)) for c in "xyz")
+    rows = [(1, x), (2, f"{x} more"), (2, y), (5, z), (5, f"{y} other words of its own " + " ".join(f"q{k}" for k in range(200))), (3, f"{z} more"), (None, x)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = Counter((r.doc_id, r.text) for r in simhash.near_dedup(docs, most_sent=most_sent).collect())
+    assert got == Counter([rows[0], rows[2], rows[4], rows[5], rows[6]])
+    decided = Counter((r.doc_id, r.keeper_id, r.is_duplicate) for r in simhash.near_duplicates(docs).collect())
+    assert decided == Counter([(1, 1, False), (2, 1, True), (2, 2, False), (5, 3, True), (5, 5, False), (3, 3, False), (None, None, False)])
+
+
 def test_crowded_prefixes_are_split():
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2, (300, 256), dtype=np.uint8)

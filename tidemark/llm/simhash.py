@@ -69,13 +69,13 @@ def fingerprints(column: pa.Array) -> list[bytes | None]:
 
 
 def hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) of (doc_id, text)."""
+    """(doc_id, row, fp) of (doc_id, row, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, most=STEP_BYTES):
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fingerprints(batch.column("text")), pa.binary())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row"), pa.array(fingerprints(batch.column("text")), pa.binary())], names=["doc_id", "row", "fp"])
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, fp binary")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, row long, fp binary")
 
 
 def recall(depth: int, tries: int, distance: float) -> float:
@@ -242,13 +242,17 @@ def components(edges: DataFrame) -> DataFrame:
         mark = found
 
 
-def _decided(docs: DataFrame, doc_id: str, text: str, radius: float, distance: float, target: float, leaf: int) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, fp) of all rows, and (fp, keeper) of the fingerprints."""
-    keys = written(hashed(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))))
-    nodes = written(keys.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("node")))
+def _decided(docs: DataFrame, doc_id: str, text: str, radius: float, distance: float, target: float, leaf: int) -> DataFrame:
+    """(doc_id, row, keeper_id, is_duplicate) of all rows; ``row`` is the hash of the text, which tells rows of one id apart."""
+    own = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("row"), F.col(text).alias("text"))
+    keys = written(hashed(own))
+    nodes = written(keys.where("fp IS NOT NULL AND doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")).withColumn("node", F.monotonically_increasing_id()))
     n = nodes.count()
     groups = components(forest_edges(nodes.select("node", "fp"), radius, distance, target, leaf, n)) if n else nodes.select("node", F.col("node").alias("keeper")).limit(0)
-    return keys, nodes.join(groups, "node", "left").select("fp", F.coalesce("keeper", "node").alias("keeper"))
+    grouped = nodes.join(groups, "node", "left").select("fp", "id", F.coalesce("keeper", "node").alias("group"))
+    smallest = grouped.groupBy("group").agg(F.min("id").alias("keeper"))
+    joined = keys.join(grouped.join(smallest, "group").select("fp", "keeper"), "fp", "left").withColumn("keeper", F.when(F.col("doc_id").isNotNull(), F.coalesce("keeper", "doc_id")))
+    return joined.select("doc_id", "row", F.col("keeper").alias("keeper_id"), F.coalesce(F.col("doc_id") != F.col("keeper"), F.lit(False)).alias("is_duplicate"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: float = 0.17, distance: float = 0.13, target: float = 0.95, leaf: int = 64) -> DataFrame:
@@ -258,18 +262,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     components of such pairs, equal texts included, and the smallest id of a group is its keeper. ``distance`` is the
     share of differing bits for which the forest has at least the recall ``target``; closer pairs are found more surely, those
     at the radius with ``EDGE``.
-    A null text, a text without words and a row without id are in no group, and are no duplicates. Rows with one id are
-    one document: they stay or go together. Other columns are not read; an empty table gives no rows.
+    A null text, a text without words and a row without id are in no group, and are no duplicates. Each row is decided
+    by its own text: rows with one id may be in different groups, and those with the keeper's id stay. Other columns are not read; an empty table gives no rows.
     """
-    keys, keepers = _decided(docs, doc_id, text, radius, distance, target, leaf)
-    joined = keys.join(keepers, "fp", "left").withColumn("keeper", F.when(F.col("doc_id").isNotNull(), F.coalesce("keeper", "doc_id")))
-    return joined.select("doc_id", F.col("keeper").alias("keeper_id"), F.coalesce(F.col("doc_id") != F.col("keeper"), F.lit(False)).alias("is_duplicate"))
+    return _decided(docs, doc_id, text, radius, distance, target, leaf).select("doc_id", "keeper_id", "is_duplicate")
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: float = 0.17, distance: float = 0.13, target: float = 0.95, leaf: int = 64, most_sent: int = 4 << 20) -> DataFrame:
-    """The rows that near_duplicates keeps, with all columns of the input. The ids that go are broadcast up to
-    ``most_sent`` of them, beyond that joined by a shuffle."""
-    lost = written(near_duplicates(docs, doc_id, text, radius, distance, target, leaf).where("is_duplicate").select(F.col("doc_id").alias("_lost_id")).distinct())
+    """The rows that near_duplicates keeps, with all columns of the input. The rows that go, by id and
+    hash of the text, are broadcast up to ``most_sent`` of them, beyond that joined by a shuffle."""
+    lost = written(_decided(docs, doc_id, text, radius, distance, target, leaf).where("is_duplicate").select(F.col("doc_id").alias("_lost_id"), F.col("row").alias("_lost_row")).distinct())
     if lost.count() <= most_sent:
         lost = F.broadcast(lost)
-    return docs.join(lost, docs[doc_id] == lost["_lost_id"], "left_anti")
+    return docs.join(lost, (docs[doc_id] == lost["_lost_id"]) & (F.xxhash64(docs[text]) == lost["_lost_row"]), "left_anti")
