@@ -141,7 +141,7 @@ def test_quality(spark, docs, nothing, labels):
     assert ids(kept) == ids(out.where("accepted"))
     assert quality.quality_scores(nothing, labels).collect() == []
     none = labels.where("false")
-    assert all(r.accepted == (r.p_above_0 is not None) for r in quality.quality_scores(docs, none).collect())
+    assert not any(r.accepted for r in quality.quality_scores(docs, none).collect()) and quality.quality_filter(docs, none).collect() == []
 
 
 def test_chat(spark):

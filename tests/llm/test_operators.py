@@ -1,5 +1,6 @@
 """Each operator against a brute-force version, an exact round trip or held-out accuracy."""
 
+import math
 import random
 import re
 import unicodedata
@@ -9,6 +10,8 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -473,6 +476,42 @@ def test_quality_held_out():
     assert grade[held == 0].mean() < grade[held == 1].mean() < grade[held == 2].mean()
 
 
+def scores_by_hand(text, model):
+    """Word by word, from the definition of the features and the model's weights."""
+    words = [w for w in regex.split(r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", text) if w]
+    weight = lambda mark, s: model.weights[xxhash.xxh32_intdigest(s, ord(mark)) % (quality.DIMENSIONS - 2) + 2]
+    there, total = set(), 0.0
+    for k, w in enumerate(words):
+        core = w.lower().strip(".,;:!?\"'()|#$%&*")
+        there |= {("w", core)} if core else set()
+        there |= {("p", core[:n]) for n in (4, 5) if len(core) > n}
+        shape = regex.sub(r"[0-9]+", "9", regex.sub(r"[\p{Ll}\p{Lo}\p{Lm}]+", "x", regex.sub(r"[\p{Lu}\p{Lt}]+", "X", w)))
+        total += quality.SHARE * weight("s", shape) / len(words)
+        if k and w == words[k - 1]:
+            total += quality.SHARE * model.weights[1] / len(words)
+    features = {xxhash.xxh32_intdigest(s, ord(m)) % (quality.DIMENSIONS - 2) + 2 for m, s in there}
+    total += sum(model.weights[f] for f in features)
+    return [1 / (1 + math.exp(-(total - t))) for t in model.thresholds]
+
+
+def test_quality_by_hand(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic"))
+    rows = run(spark, "op8_quality_classifier").collect()
+    assert len(rows) == len(texts) and len({r.accepted for r in rows}) == 2
+    for r in rows:
+        want = scores_by_hand(texts[r.doc_id], model)
+        assert np.allclose([r.p_above_0, r.p_above_1, r.expected_grade], [*want, sum(want)], atol=1e-6)
+        assert r.accepted == (r.p_above_1 >= 0.5)
+
+
+def test_quality_takes_one_text_of_an_id(spark):
+    rows = [(k % 40, f"{'fine words' if k % 2 else 'XX ## 99'} number{k}") for k in range(160)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id bigint, quality int, toxic int")
+    fits = [quality.fit_quality(spark.createDataFrame(own, "doc_id bigint, text string").repartition(n), labels) for own, n in ((rows, 3), (rows[::-1], 7))]
+    assert np.array_equal(fits[0].weights, fits[1].weights) and np.array_equal(fits[0].thresholds, fits[1].thresholds)
+
+
 def test_pipeline_by_hand(spark, texts):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     model = quality.fit_quality(docs.select("doc_id", "text"), spark.read.parquet(f"{SF}/labels.parquet").select("doc_id", "quality", "toxic"))

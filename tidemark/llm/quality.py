@@ -20,47 +20,29 @@ from .shared import sampled
 
 DIMENSIONS = 1 << 18
 GRADES = 3
-_KIND = str.maketrans({**{c: "x" for c in "abcdefghijklmnopqrstuvwxyz"}, **{c: "X" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}, **{c: "9" for c in "0123456789"}})
 #: Text bytes that one step has features of; distinct word counts of a step are several times as large as its text.
 STEP_BYTES = 4 << 20
 #: Strength of the features that are shares of a text's words, not presences.
 SHARE = 4.0
 
 
-def _shape(word: str) -> str:
-    """The word with runs of one kind of character collapsed."""
-    if not word.isascii():
-        word = "".join(("X" if c.isupper() else "x") if c.isalpha() else c for c in word)
-    out, last = [], ""
-    for c in word.translate(_KIND):
-        if c != last:
-            out.append(c)
-            last = c
-    return "".join(out)[:8]
-
-
-def _hash(s: str) -> int:
-    return xxhash.xxh32_intdigest(s) % (DIMENSIONS - 2) + 2
-
-
-def word_features(known: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Features of each distinct word: present ones (word, two starts of the word), and its shape."""
-    n = len(known)
-    present, shape = np.zeros((n, 3), np.int32), np.zeros(n, np.int32)
-    shapes: dict[str, int] = {}
-    for k, w in enumerate(known):
-        s = _shape(w)
-        if s not in shapes:
-            shapes[s] = _hash("s" + s)
-        shape[k] = shapes[s]
-        core = w.lower().strip(".,;:!?\"'()|#$%&*")
-        if core:
-            present[k, 0] = _hash("w" + core)
-            if len(core) > 4:
-                present[k, 1] = _hash("p" + core[:4])
-            if len(core) > 5:
-                present[k, 2] = _hash("p" + core[:5])
-    return present, shape
+def _hashes(mark: str, values: pa.Array) -> np.ndarray:
+    """The feature of each string, 0 for empty ones; ``mark`` keeps kinds of features apart."""
+    known = values.dictionary_encode()
+    seed = ord(mark)
+    own = np.fromiter((xxhash.xxh32_intdigest(w, seed) % (DIMENSIONS - 2) + 2 if w else 0 for w in known.dictionary.to_pylist()), np.int64, len(known.dictionary))
+    return own[known.indices.to_numpy(zero_copy_only=False)] if len(values) else np.zeros(0, np.int64)
+
+
+def word_features(known: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Features of each distinct word: present ones (the whole word, its first 4 and 5 letters), and its whole shape."""
+    shape = known
+    for pattern, kind in ((r"[\p{Lu}\p{Lt}]+", "X"), (r"[\p{Ll}\p{Lo}\p{Lm}]+", "x"), (r"[0-9]+", "9")):
+        shape = pc.replace_substring_regex(shape, pattern, kind)
+    core = pc.utf8_trim(pc.utf8_lower(known), characters=".,;:!?\"'()|#$%&*")
+    size = pc.utf8_length(core)
+    starts = [pc.if_else(pc.greater(size, n), pc.utf8_slice_codeunits(core, 0, n), "") for n in (4, 5)]
+    return np.stack([_hashes("w", core), *(_hashes("p", s) for s in starts)], axis=1), _hashes("s", shape)
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -68,7 +50,7 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     codes, offsets, dictionary = words(column)
     if not len(codes):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.diff(offsets)
-    present, shape = word_features(dictionary.to_pylist())
+    present, shape = word_features(dictionary)
     rows = row_of(offsets)
     size = np.diff(offsets)
     once = np.unique(rows * len(present) + codes)
@@ -90,6 +72,57 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.tanh(0.5 * x))
 
 
+class _Entries:
+    """A sparse matrix (n texts, d features) as entries sorted by text and again by feature."""
+
+    def __init__(self, r: np.ndarray, f: np.ndarray, v: np.ndarray, n: int, d: int):
+        by_feature, by_row = np.argsort(f, kind="stable"), np.argsort(r, kind="stable")
+        self._hold(n, d, (r[by_feature], f[by_feature], v[by_feature]), (r[by_row], f[by_row], v[by_row]))
+
+    def _hold(self, n: int, d: int, by_feature: tuple, by_row: tuple) -> None:
+        self.n, self.d, self.by_feature, self.by_row = n, d, by_feature, by_row
+        self.row_at, self.row_none = _begins(by_row[0], n)
+        self.f_at, self.f_none = _begins(by_feature[1], d)
+
+    def of(self, features: np.ndarray) -> _Entries:
+        """Those of some features, which are numbered anew."""
+        place = np.full(self.d, -1, np.int32)
+        place[features] = np.arange(len(features))
+        some = []
+        for r, f, v in (self.by_feature, self.by_row):
+            new = place[f]
+            keep = new >= 0
+            some.append((r[keep], new[keep], v[keep]))
+        made = _Entries.__new__(_Entries)
+        made._hold(self.n, len(features), *some)
+        return made
+
+    def rate(self) -> float:
+        """A step that falls for most tables; where it doesn't, the fit halves it."""
+        return 32.0 / (1.0 + np.bincount(self.by_row[0], weights=self.by_row[2] ** 2, minlength=self.n).max())
+
+    def scores(self, w: np.ndarray) -> np.ndarray:
+        """The sum of value times weight of each text."""
+        return _sums(self.by_row[2] * w[self.by_row[1]], self.row_at, self.row_none)
+
+    def pulls(self, x: np.ndarray) -> np.ndarray:
+        """The sum of value times the text's ``x`` of each feature."""
+        return _sums(self.by_feature[2] * x[self.by_feature[0]], self.f_at, self.f_none)
+
+
+def _begins(sorted_: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    size = np.bincount(sorted_, minlength=n)
+    return np.cumsum(size) - size, size == 0
+
+
+def _sums(values: np.ndarray, begin: np.ndarray, none: np.ndarray) -> np.ndarray:
+    if not len(values):
+        return np.zeros(len(begin))
+    out = np.add.reduceat(values, np.minimum(begin, len(values) - 1)) if len(begin) else np.zeros(0)
+    out[none] = 0
+    return out
+
+
 class Ordinal:
     """The fitted model: sparse weights and ordered thresholds."""
 
@@ -97,19 +130,21 @@ class Ordinal:
         self.weights, self.thresholds = weights, thresholds
 
     @classmethod
-    def fit(cls, rows: np.ndarray, feats: np.ndarray, values: np.ndarray, grades: np.ndarray, steps: int = 150, l1: float = 2e-3, least: float = 0.006) -> Ordinal:
-        """Accelerated proximal gradient with an L1 penalty; features in fewer than 3 texts, or less than that share of them, are left out."""
+    def fit(cls, rows: np.ndarray, feats: np.ndarray, values: np.ndarray, grades: np.ndarray, steps: int = 150, l1: float = 2e-3, least: float = 0.006, settled: float = 1e-3) -> Ordinal:
+        """Accelerated proximal gradient with an L1 penalty, in two rounds; a round ends when 10 steps lower the penalised
+        loss by less than the share ``settled``, or after ``steps`` steps and four times as many. Features in fewer than
+        3 texts, or less than the share ``least`` of them, are left out."""
         n = len(grades)
         weights = np.zeros(DIMENSIONS)
         share = np.array([(np.sum(grades > k) + 0.5) / (n + 1.0) for k in range(GRADES - 1)])
         thresholds = -np.log(share / (1 - share))
         if not n or len(np.unique(grades)) < 2:
-            return cls(weights, thresholds if n else np.full(GRADES - 1, -6.0))
+            return cls(weights, thresholds if n else np.full(GRADES - 1, 6.0))
         seen = np.bincount(feats, minlength=DIMENSIONS)
-        keep = seen[feats] >= max(3, least * n)
-        used, f = np.unique(feats[keep], return_inverse=True)
-        r, v = rows[keep], values[keep]
-        w, d = np.zeros(len(used)), len(used)
+        often = seen >= max(3, least * n)
+        used = np.flatnonzero(often)
+        keep, d = often[feats], len(used)
+        r, f, v = rows[keep].astype(np.int32), (np.cumsum(often) - 1).astype(np.int32)[feats[keep]], values[keep].astype(float)
         above = np.stack([(grades > k).astype(float) for k in range(GRADES - 1)])
         # A rarer grade's texts weigh more, by the root of its rarity.
         each = np.bincount(grades, minlength=GRADES)
@@ -117,21 +152,34 @@ class Ordinal:
         weight = weight / weight.mean()
         scale = np.sqrt(np.maximum(np.bincount(f, weights=v * v, minlength=d) / n, 1e-4))
         v = v / np.minimum(1.0, scale * 4)[f]  # rarer features may move faster
-        norm = np.bincount(r, weights=v * v, minlength=n).max()
-        rate = 4.0 / (1.0 + norm) * 8
-        y, before, momentum = w.copy(), w.copy(), 1.0
-        best = np.inf
-        penalty = np.full(d, l1)
-        for step in range(5 * steps):
-            if step == steps:  # the rest is for the features found so far, the stronger ones shrunk less
-                used, scale = used[before != 0], scale[before != 0]
-                still = (before != 0)[f]
-                place = np.cumsum(before != 0) - 1
-                r, v, f, d = r[still], v[still], place[f[still]], len(used)
-                before = before[before != 0]
-                penalty = l1 * 0.1 / (0.1 + np.abs(before))
-                y, momentum, best = before.copy(), 1.0, np.inf
-            score = np.bincount(r, weights=v * y[f], minlength=n)
+        entries = _Entries(r, f, v, n, d)
+        del keep, r, f, v
+        rate = entries.rate()
+        own, held = np.arange(d), entries  # the features that move now: all, then those that the penalty doesn't hold at 0
+        y, before, momentum = np.zeros(d), np.zeros(d), 1.0
+        charge = np.full(d, l1)
+        best, past, first, step = np.inf, [], True, 0
+        while True:
+            done = step >= (steps if first else 4 * steps) or len(past) > 10 and past[-1] >= past[-11] * (1 - settled)
+            if done and not first:
+                break
+            if done:  # the rest is for the features found so far, the stronger ones shrunk less
+                kept = own[before != 0]
+                held = entries = entries.of(kept)
+                used, scale, before = used[kept], scale[kept], before[before != 0]
+                own, charge = np.arange(len(before)), l1 * 0.1 / (0.1 + np.abs(before))
+                y, momentum, best, past, first, step = before.copy(), 1.0, np.inf, [], False, 0
+                rate = entries.rate()
+            elif step and step % 15 == 0:
+                slack = (_sigmoid(held.scores(before) - thresholds[:, None]) - above) * weight
+                moves = np.abs(entries.pulls(slack.sum(axis=0))) / n > 0.5 * charge
+                value, next_ = np.zeros(entries.d), np.zeros(entries.d)
+                value[own], next_[own] = before, y
+                own = np.flatnonzero(moves | (value != 0) | (next_ != 0))
+                held, before, y = entries.of(own), value[own], next_[own]
+            penalty = charge[own]
+            step += 1
+            score = held.scores(y)
             slack = _sigmoid(score - thresholds[:, None]) - above
             loss = -np.sum(weight * np.log(np.clip(np.where(above > 0, slack + above, 1 - slack), 1e-9, 1))) / n + (penalty * np.abs(y)).sum()
             if loss > best * 1.5 + 1e-9:
@@ -139,45 +187,73 @@ class Ordinal:
                 best = np.inf
                 continue
             best = min(best, loss)
+            past.append(best)
             slack = slack * weight
-            grad = np.bincount(f, weights=v * slack.sum(axis=0)[r], minlength=d) / n
+            grad = held.pulls(slack.sum(axis=0)) / n
             thresholds = np.sort(thresholds + 2.0 * slack.sum(axis=1) / n)
             new = y - rate * grad
             new = np.sign(new) * np.maximum(np.abs(new) - rate * penalty, 0)
             ahead = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
             y = new + (momentum - 1) / ahead * (new - before)
             before, momentum = new, ahead
-        weights[used] = before / np.minimum(1.0, scale * 4)
+        weights[used[own]] = before / np.minimum(1.0, scale[own] * 4)
         return cls(weights, thresholds)
 
     def tails(self, column: pa.Array) -> np.ndarray:
-        """P(grade > k) for each text (rows) and k (columns)."""
-        r, f, v, size = features(column)
-        score = np.bincount(r, weights=v * self.weights[f], minlength=len(size))
+        """P(grade > k) for each text (rows) and k (columns). The same sums as over ``features``; features whose weight is
+        0, most of them, are passed over before any is counted."""
+        codes, offsets, dictionary = words(column)
+        size = np.diff(offsets)
+        n = len(size)
+        score = np.zeros(n)
+        if len(codes):
+            present, shape = word_features(dictionary)
+            rows = row_of(offsets)
+            same = np.concatenate(([False], (codes[1:] == codes[:-1]) & (rows[1:] == rows[:-1])))
+            shares = np.bincount(rows, weights=self.weights[shape[codes]], minlength=n) + self.weights[1] * np.bincount(rows[same], minlength=n)
+            score += SHARE * shares / np.maximum(size, 1)
+            used = np.unique(present[self.weights[present] != 0])
+            used = used[used > 0]
+            weights = self.weights[used]
+            own = np.where(np.isin(present, used), np.searchsorted(used, present), -1)  # place among those used
+            live = np.flatnonzero((own >= 0).any(axis=1)[codes])
+            rows, codes = rows[live], codes[live]
+            step = max(1, (1 << 24) // max(len(used), 1))
+            ends = np.searchsorted(rows, np.arange(0, n + step, step))
+            for k, (a, b) in enumerate(zip(ends.tolist(), ends[1:].tolist())):
+                seen = np.zeros((min(step, n - k * step), len(used)), bool)
+                for j in range(own.shape[1]):
+                    place = own[codes[a:b], j]
+                    there = place >= 0
+                    seen[rows[a:b][there] - k * step, place[there]] = True
+                r, f = np.divmod(np.flatnonzero(seen), max(len(used), 1))
+                score[k * step : k * step + len(seen)] += np.bincount(r, weights=weights[f], minlength=len(seen))
         return _sigmoid(score[:, None] - self.thresholds)
 
 
 def rated(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Features and grades of about ``most`` rated texts, chosen by the hash of their ids.
 
-    Several ratings of an id count as the worst of them; null ratings, ids and texts are left out, a null ``toxic`` counts as 0.
+    Several ratings of an id count as the worst of them, of several texts of an id the smallest is taken; null ratings,
+    ids and texts are left out, a null ``toxic`` counts as 0. Rows come in the order of their ids.
     """
     grade = F.when(F.col("quality") <= 0, 0).when(F.col("toxic") > 0, 1).otherwise(2)
     ratings = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy(F.col("doc_id").alias("_rated")).agg(F.min(grade).alias("grade"))
     chosen = sampled(ratings, ["_rated"], most, ratings.count())
-    texts = docs.where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("_rated")).dropDuplicates(["doc_id"]).select("grade", "text")
+    texts = docs.where("text IS NOT NULL").join(F.broadcast(chosen), F.col("doc_id") == F.col("_rated")).groupBy("_rated").agg(F.min("grade").alias("grade"), F.min("text").alias("text"))
+    kind = texts.schema["_rated"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in gathered(batches, most=STEP_BYTES):
             r, f, v, size = features(batch.column("text"))
             ends = np.searchsorted(r, np.arange(len(size) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(pa.array(ends), pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.float32)))], names=["grade", "f", "v"])
+            yield pa.RecordBatch.from_arrays([batch.column("_rated"), batch.column("grade"), pa.ListArray.from_arrays(pa.array(ends), pa.array(f.astype(np.int32))), pa.ListArray.from_arrays(pa.array(ends), pa.array(v.astype(np.float32)))], names=["id", "grade", "f", "v"])
 
-    table = texts.mapInArrow(run, "grade int, f array<int>, v array<float>").toArrow().combine_chunks()
+    table = texts.mapInArrow(run, f"id {kind}, grade int, f array<int>, v array<float>").toArrow().sort_by("id").combine_chunks()
     n = table.num_rows
     size = pc.list_value_length(table.column("f")).to_numpy().astype(np.int64) if n else np.zeros(0, np.int64)
     one = lambda c, t: np.asarray(pc.list_flatten(table.column(c))).astype(t) if n else np.zeros(0, t)
-    return np.repeat(np.arange(n), size), one("f", np.int64), one("v", float), table.column("grade").to_numpy().astype(np.int64) if n else np.zeros(0, np.int64)
+    return np.repeat(np.arange(n, dtype=np.int32), size), one("f", np.int32), one("v", np.float32), table.column("grade").to_numpy().astype(np.int64) if n else np.zeros(0, np.int64)
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Ordinal:
@@ -188,10 +264,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, most: int = 6000) -> Ordinal
 def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 6000, accept: float = 0.5) -> DataFrame:
     """Every row's grade: (doc_id, expected_grade, p_above_0, p_above_1, accepted).
 
-    A text is accepted if P(grade > 1) is at least ``accept``. Whole texts are scored. A null text has null scores and
+    A text is accepted if P(grade > 1) is at least ``accept``. Whole texts are scored, however long: features are whole
+    words, the words' first 4 and 5 letters (stems), shares of the words' shapes and of repeated words; the fit leaves
+    features out that are in less than 0.6 % of the rated texts, or in fewer than 3. A null text has null scores and
     isn't accepted; a text without words is graded by the thresholds alone. Rows come out one for one, null ids and
-    repeated rows too. Without ratings, or with ratings of one grade only, weights are 0. Other columns of docs and
-    labels are not read, whatever their names.
+    repeated rows too, equal texts with equal scores; an empty table gives no rows. Ratings of one grade only give all
+    texts that grade's share; without ratings no text is accepted. Other columns of docs and labels are not read,
+    whatever their names. About ``most`` ratings are fitted on, chosen by the hash of their ids.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     model = fit_quality(own, labels.select("doc_id", "quality", "toxic"), most)
@@ -209,7 +288,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", t
 
 
 def quality_filter(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 6000, accept: float = 0.5) -> DataFrame:
-    """The rows that quality_scores accepts, with all columns of the input; one pass, no shuffle of texts."""
+    """The rows that quality_scores accepts, with all columns of the input, whatever their names; one pass, no shuffle of
+    texts. Null texts go, null ids and repeated rows stay if their text is accepted; without ratings no row stays; an
+    empty table gives no rows."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     sent = own.sparkSession.sparkContext.broadcast(fit_quality(own, labels.select("doc_id", "quality", "toxic"), most))
 
