@@ -268,22 +268,47 @@ def test_near_copies_are_found_and_others_left(spark):
     assert all(got[i] == i for i in range(150))
 
 
-@pytest.mark.parametrize("n", [2, 200, 10_000, 1_200_000, 12_000_000, 1_000_000_000])
-def test_recall_at_the_radius(n):
-    depth, tries = simhash.plan(n, 64, 0.13, 0.95, 43 / 256, simhash.EDGE)
-    assert simhash.recall(depth, tries, 0.13) >= 0.95 and simhash.recall(depth, tries, 43 / 256) >= 0.9
+def flipped(rng, base, bits):
+    copies = base.copy()
+    for own in copies:
+        own[rng.permutation(256)[:bits]] ^= 1
+    return copies
 
 
-def test_pairs_at_the_radius_are_found(spark):
+@pytest.mark.parametrize("bucket, leaf", [(1 << 20, 64), (1 << 20, 8), (300, 16), (60, 8)])
+@pytest.mark.parametrize("biased", [False, True])
+def test_pairs_at_the_radius_are_found(spark, bucket, leaf, biased):
     rng = np.random.default_rng(8)
-    base = rng.integers(0, 2, (1000, 256), dtype=np.uint8)
-    copies = base.copy()
-    for own in copies:
-        own[rng.permutation(256)[:43]] ^= 1
-    rows = [(k, bytearray(f.tobytes())) for k, f in enumerate(np.packbits(np.concatenate((base, copies)), axis=1))]
-    edges = simhash.forest_edges(spark.createDataFrame(rows, "node bigint, fp binary"), 0.17, 0.13, 0.95, 64, 12_000_000)
-    found = {(r.a, r.b) for r in edges.collect()}
-    assert found <= {(k + 1000, k) for k in range(1000)} and len(found) >= 900
+    base = (rng.random((2000, 256)) < (rng.beta(2, 2, 256) if biased else 0.5)).astype(np.uint8)
+    copies = flipped(rng, base[:1000], 43)
+    fps = np.packbits(np.concatenate((base, copies)), axis=1)
+    rows = [(k, bytearray(f.tobytes())) for k, f in enumerate(fps)]
+    nodes = spark.createDataFrame(rows, "node bigint, fp binary")
+    edges = simhash.forest_edges(nodes, 0.17, 0.13, 0.95, leaf, len(rows), bucket=bucket)
+    got = {r.node: r.keeper for r in simhash.components(edges).collect()}
+    want, _ = components_by_hand(dict(enumerate(f.tobytes() for f in fps)), 43)
+    assert sum(got.get(k + 2000, k + 2000) == got.get(k, k) for k in range(1000)) >= 900
+    assert all(want[a] == want[b] for a, b in got.items())
+
+
+def test_forest_adapts_to_counts(spark):
+    rng = np.random.default_rng(4)
+    fps = np.packbits(np.concatenate((rng.integers(0, 2, (3000, 256), dtype=np.uint8), rng.integers(0, 2, (1, 256), dtype=np.uint8) ^ (rng.random((1500, 256)) < 0.02))).astype(np.uint8), axis=1)
+    nodes = spark.createDataFrame([(k, bytearray(f.tobytes())) for k, f in enumerate(fps)], "node bigint, fp binary")
+    wanted = [(0.13, 0.95), (43 / 256, simhash.EDGE)]
+    forest = simhash.planned(nodes, len(fps), 200, wanted, 8)
+    for t, (start, depth, size) in enumerate(zip(forest.starts, forest.depth, forest.size)):
+        key = np.sort(simhash.prefix_keys(np.unpackbits(fps, axis=1), t))
+        held = np.searchsorted(key, np.append(start, np.uint64(2**64 - 1)), side="left")
+        held[-1] = len(key)
+        assert np.diff(held).tolist() == size.tolist() and size.sum() == len(fps) and start[0] == 0
+        assert (size[depth < forest.deepest] <= 200).all() and len(set(depth.tolist())) > 1
+    for n in (1, 10_000, 12_000_000, 10**9, 10**11):
+        forest = simhash.Forest(n, simhash.BUCKET, wanted, simhash.TRIES)
+        for d in range(forest.deepest + 1):
+            for distance, target in wanted:
+                assert 1 - (1 - (1 - distance) ** d * dict(forest.recalls(d))[distance]) ** forest.tries >= target - 1e-9
+    assert simhash.Forest(12_000_000, simhash.BUCKET, wanted, simhash.TRIES).tries <= 12
 
 
 @pytest.mark.parametrize("most_sent", [4 << 20, 0])
@@ -297,27 +322,34 @@ def test_rows_of_one_id_are_decided_by_their_texts(spark, most_sent):
     assert decided == Counter([(1, 1, False), (2, 1, True), (2, 2, False), (5, 3, True), (5, 5, False), (3, 3, False), (None, None, False)])
 
 
-def test_crowded_prefixes_are_split():
+@pytest.mark.parametrize("crowd", [8, 256])
+def test_crowded_prefixes(monkeypatch, crowd):
+    monkeypatch.setattr(simhash, "CROWD", crowd)
     rng = np.random.default_rng(5)
     base = rng.integers(0, 2, (300, 256), dtype=np.uint8)
     base[:, :200] = base[0, :200]  # most bits alike, as of texts that share their common words
-    copies = base.copy()
-    flip = rng.integers(0, 256, (300, 6))
-    for k in range(300):
-        copies[k, flip[k]] ^= 1
-    fp = np.packbits(np.concatenate((base, copies)), axis=1).view(np.uint64)
-    x, y = simhash._pairs(np.zeros(600, np.int64), fp, 6, 64, 4, 16, 0.03, 0)
-    found = {(min(a, b), max(a, b)) for a, b in zip(x.tolist(), y.tolist())}
-    assert sum((k, k + 300) in found for k in range(300)) >= 0.9 * 300
-    a, b = simhash._walk(fp, 6)
-    label = simhash._settled(600, a, b)
-    assert all(label[k] == label[k + 300] for k in range(300))
+    copies = flipped(rng, base, 6)
+    near = base[:1] ^ (rng.random((400, 256)) < 0.01)  # one cluster
+    fp = np.packbits(np.concatenate((base, copies, near)).astype(np.uint8), axis=1)
+    label = simhash.bucket_components(fp.view(np.uint64), 6, [(0.03, 0.98)], 0, 16)
+    want, _ = components_by_hand({k: f.tobytes() for k, f in enumerate(fp)}, 6)
+    assert sum(label[k] == label[k + 300] for k in range(300)) >= 0.9 * 300
+    assert all(want[k] == want[int(label[k])] for k in range(len(fp)))
+    assert Counter(label[600:].tolist()).most_common(1)[0][1] > 0.9 * Counter(want[k] for k in range(600, 1000)).most_common(1)[0][1]
 
 
 def test_components(spark):
     chain = [(k + 1, k) for k in range(60)] + [(200, 100), (201, 200), (201, 202)]
-    got = dict((r.node, r.keeper) for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint")).collect())
-    assert got == {**{k: 0 for k in range(1, 61)}, 200: 100, 201: 100, 202: 100}
+    for one_task in (0, 1 << 22):
+        got = dict((r.node, r.keeper) for r in simhash.components(spark.createDataFrame(chain, "a bigint, b bigint"), one_task).collect())
+        assert got == {**{k: 0 for k in range(1, 61)}, 200: 100, 201: 100, 202: 100}
+
+
+def test_near_duplicates_with_string_ids(spark):
+    x, y = (" ".join(f"{c}{k}" for k in range(120)) for c in "xy")
+    docs = spark.createDataFrame([("b", x), ("a", f"{x} more"), ("c", y), ("c", x)], "doc_id string, text string")
+    assert sorted((r.doc_id, r.keeper_id, r.is_duplicate) for r in simhash.near_duplicates(docs).collect()) == [("a", "a", False), ("b", "a", True), ("c", "a", True), ("c", "c", False)]
+    assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == ["a", "c"]
 
 
 @pytest.mark.parametrize("copies", [2, 32])

@@ -111,6 +111,12 @@ def gathered_ranges(source: np.ndarray, starts: np.ndarray, lengths: np.ndarray,
     return out
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted; the array is sorted in place."""
+    values.sort()
+    return values[np.concatenate(([True], values[1:] != values[:-1]))] if len(values) else values
+
+
 def row_of(offsets: np.ndarray) -> np.ndarray:
     """The row of each element, by the rows' offsets."""
     return np.repeat(np.arange(len(offsets) - 1, dtype=np.int64), np.diff(offsets))
