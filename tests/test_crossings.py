@@ -99,3 +99,30 @@ def test_random_against_replay(spark, batch):
 
 def test_empty(spark):
     assert make(spark, []) == []
+
+
+def test_long_groups_are_joined_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.operators import crossings as C
+
+    rng, rows = np.random.default_rng(3), []
+    for key in range(3):  # a key's times go up, more or less; the second is one group
+        at = np.cumsum(rng.integers(0, 400, 3000)) + rng.integers(-300, 300, 3000) if key != 1 else rng.integers(0, 900, 3000)
+        rows += [("p", f"s{key}", k, "x", f"d{key}-{k}", int(t), None, "tb", "m", "a", None) for k, t in enumerate(at.tolist())]
+    names = C._COLUMNS
+    kinds = dict.fromkeys(names, pa.string()) | {"arrival": pa.int64(), "detected_at_ns": pa.int64(), "detected_at_uncertainty_ns": pa.int64(), "rssi": pa.int32()}
+    table = pa.table({n: pa.array([r[i] for r in rows], kinds[n]) for i, n in enumerate(names)})
+    want, anchor = [], {}
+    for r in rows:
+        if r[1] not in anchor or r[5] - anchor[r[1]] > 1000:
+            anchor[r[1]] = r[5]
+            want.append([])
+        want[-1].append(r[4])
+    joins = []
+    monkeypatch.setattr(C, "_one", lambda b, whole=C._one: (joins.append(len(b)), whole(b))[1])
+    for size in (7, 50, 9000):
+        got = [ids for _, g in C.grouped(iter(table.to_batches(max_chunksize=size)), 1000) for ids in g.column("detection_ids").to_pylist()]
+        assert got == want
+    assert max(joins) > 50

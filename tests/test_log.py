@@ -91,6 +91,16 @@ def test_tail(spark, folder):
     assert [r.offset for r in next(tail).collect()] == [3, 4]
 
 
+def test_tail_loses_nothing_that_is_appended_while_it_is_read(spark, folder):
+    log = L.EventLog(spark, folder)
+    fill(log, spark, 3)
+    whole = log._range
+    log._range = lambda *args: (whole(*args), fill(L.EventLog(spark, folder), spark, 2))[0]  # an append right after the manifest was read
+    tail = log.tail(0)
+    assert [r.offset for r in next(tail).collect()] == [0, 1, 2]
+    assert [r.offset for r in next(tail).collect()] == [3, 4]
+
+
 def test_pages():
     assert L.page_range() == (0, 100) and L.page_range(5, 5000) == (5, 1005) and L.page_range(2**63 - 5, 100) == (2**63 - 5, 2**63 - 1)
 

@@ -37,7 +37,27 @@ def test_restart_and_tail(spark, tmp_path, batch):
         run_log(source, log, f"{where}/checkpoint", lambda b: b, WINDOW_NS).awaitTermination()
     assert rows(log.read_range(0)) == batch
     stored = log.read_range(0)
-    tail = subscribe(spark, f"{where}/log/data", stored.schema, 900).writeStream.format("memory").queryName("tail").trigger(availableNow=True).start()
+    tail = subscribe(spark, f"{where}/log", stored.schema, 900).writeStream.format("memory").queryName("tail").trigger(availableNow=True).start()
     tail.awaitTermination()
     assert [r.offset for r in spark.table("tail").orderBy("offset").collect()] == list(range(900, len(batch)))
     assert stored.select(F.max("offset")).first()[0] == len(batch) - 1
+
+
+def test_subscription_ends_when_its_offset_is_evicted(spark, tmp_path):
+    log = EventLog(spark, f"file://{tmp_path}/log")
+    rows = spark.createDataFrame([(f"p{k}", k) for k in range(10)], "producer_id string, x bigint")
+    log.append(rows, ["x"], 1)
+    schema = log.read_range(0).schema
+
+    def run(start, name):
+        query = subscribe(spark, f"file://{tmp_path}/log", schema, start).writeStream.format("parquet").option("checkpointLocation", f"file://{tmp_path}/{name}-c").trigger(availableNow=True).start(f"file://{tmp_path}/{name}")
+        query.awaitTermination()
+        return sorted(r.offset for r in spark.read.schema(schema).parquet(f"file://{tmp_path}/{name}").collect())
+
+    assert run(4, "a") == [4, 5, 6, 7, 8, 9] and run(4, "a") == [4, 5, 6, 7, 8, 9]
+    spark.createDataFrame([("lost", 1)], "producer_id string, x bigint").selectExpr("99L AS offset", "1L AS appended_at_ns", "*").write.parquet(f"file://{tmp_path}/log/data/segment_base=0/append=dead")
+    log.append(rows, ["x"], 2)
+    log.evict_below(12)
+    with pytest.raises(Exception, match="offset 10 is no longer kept; earliest is 12"):
+        run(4, "a")
+    assert run(12, "b") == list(range(12, 20))

@@ -42,12 +42,20 @@ def anchors(key: np.ndarray, times: np.ndarray, window: int, alone: np.ndarray)
     walk = np.unique(np.repeat(np.arange(len(first)), size)[late & ~alone])
     for k in walk.tolist():
         a, b = int(first[k]), int(first[k] + size[k])
-        own = times[a:b].tolist()
-        anchor = own[0]
-        for i, t in enumerate(own):
-            if t - anchor > window:
-                new[a + i] = True
-                anchor = t
+        own = times[a:b]
+        if b - a < 32:
+            anchor = int(own[0])
+            for i, t in enumerate(own.tolist()):
+                if t - anchor > window:
+                    new[a + i] = True
+                    anchor = t
+            continue
+        # All rows before an anchor are earlier than it, so the next one is where the running maximum leaves its window.
+        after = np.searchsorted(np.maximum.accumulate(own), own + window, side="right").tolist()
+        i = after[0]
+        while i < b - a:
+            new[a + i] = True
+            i = after[i]
     return np.flatnonzero(new | alone)
 
 
@@ -84,21 +92,38 @@ def _reduced(rows: pa.RecordBatch, starts: np.ndarray, ends: np.ndarray, trigger
 
 def grouped(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.RecordBatch, pa.RecordBatch]]:
     """(rows, their groups) of rows sorted by (timing_point_id, subject_id, arrival); each row comes once."""
-    held: pa.RecordBatch | None = None
+    held: list[pa.RecordBatch] = []  # the open group, joined once, when a row has closed it
     for batch in batches:
         if not batch.num_rows:
             continue
-        rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
+        if held and _goes_on(held[0], batch, window):
+            held.append(batch)
+            continue
+        rows = _one([*held, batch])
         starts, key, alone = _starts(rows, window)
         if len(starts) > 1:  # the last group may go on in the next batch
             cut = int(starts[-1])
             yield rows.slice(0, cut), _closed(rows, starts[:-1], cut, key, alone)
-            held = rows.slice(cut)
+            held = [rows.slice(cut)]
         else:
-            held = rows
-    if held is not None:
-        single = held.column("subject_id")[0].as_py() is None
-        yield held, _reduced(held, np.zeros(1, np.int64), np.array([held.num_rows]), np.full(1, 0 if single else -1))
+            held = [rows]
+    if held:
+        rows = _one(held)
+        single = rows.column("subject_id")[0].as_py() is None
+        yield rows, _reduced(rows, np.zeros(1, np.int64), np.array([rows.num_rows]), np.full(1, 0 if single else -1))
+
+
+def _one(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return batches[0] if len(batches) == 1 else pa.concat_batches(batches)
+
+
+def _goes_on(held: pa.RecordBatch, batch: pa.RecordBatch, window: int) -> bool:
+    """Whether all rows of the batch belong to the group that began with the first row held."""
+    n = batch.num_rows - 1
+    for c in ("timing_point_id", "subject_id"):  # rows are sorted by both
+        if batch.column(c)[0] != held.column(c)[0] or batch.column(c)[n] != held.column(c)[0] or held.column(c)[0].as_py() is None:
+            return False
+    return pc.max(batch.column("detected_at_ns")).as_py() - held.column("detected_at_ns")[0].as_py() <= window
 
 
 def _starts(rows: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:

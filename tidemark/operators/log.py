@@ -178,11 +178,12 @@ class EventLog:
             stream.write(bytearray(json.dumps(manifest).encode()))
         finally:
             stream.close()
-        where = self._path(f"{self.path}/manifest.json")
-        if not self._fs.rename(new, where):  # file systems that don't replace
-            self._fs.delete(where, False)
-            if not self._fs.rename(new, where):
-                raise StorageError(f"manifest of {self.path} can't be replaced")
+        # Readers see the old manifest or the new one, never none.
+        jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
+        replace = gateway.new_array(getattr(jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        replace[0] = getattr(jvm.org.apache.hadoop.fs, "Options$Rename").OVERWRITE
+        where = self._fs.makeQualified(self._path(f"{self.path}/manifest.json"))
+        jvm.org.apache.hadoop.fs.FileContext.getFileContext(where.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(self._fs.makeQualified(new), where, replace)
 
     def append(self, rows: DataFrame, order: list[str | Column], appended_at_ns: int, batch_id: int | None = None) -> int | None:
         """Appends all rows in the given total order; returns the last offset, None if the batch was there already."""
@@ -279,15 +280,18 @@ class EventLog:
 
     def read_range(self, start: int, end: int | None = None) -> DataFrame | None:
         """[start, end) ascending; None is an empty answer. Expired offsets are an error, checked before emptiness."""
-        manifest = self._read()
+        return self._range(self._read(), start, end)[0]
+
+    def _range(self, manifest: dict, start: int, end: int | None = None) -> tuple[DataFrame | None, int]:
+        """The rows and where they stop, by one manifest: what is appended meanwhile is in neither."""
         earliest = self._earliest(manifest)
         if start < manifest["next_offset"] and (earliest is None or start < earliest):
             raise RetentionExpired(start, earliest)
         stop = manifest["next_offset"] if end is None else min(end, manifest["next_offset"])
         if start >= stop:
-            return None
+            return None, start
         paths = [a["path"] for a in manifest["appends"] if a["last"] >= start and a["first"] < stop]
-        return read_range(self.spark.read.parquet(*paths), start, stop)
+        return read_range(self.spark.read.parquet(*paths), start, stop), stop
 
     def read_page(self, start: int | None = None, limit: int | None = None) -> tuple[DataFrame | None, int | None]:
         """A page and the latest offset."""
@@ -301,10 +305,5 @@ class EventLog:
         skipped by the caller). An offset that was evicted meanwhile ends the tail by RetentionExpired."""
         at = start
         while True:
-            rows = self.read_range(at)
-            if rows is None:
-                yield self.spark.createDataFrame([], "offset bigint")
-                continue
-            stop = self.next_offset()
-            yield rows.where(F.col("offset") < stop)
-            at = stop
+            rows, at = self._range(self._read(), at)
+            yield self.spark.createDataFrame([], "offset bigint") if rows is None else rows

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,8 +9,10 @@ from pyspark.sql import functions as F
 
 from .functions import scalars as S
 from .operators import builders, crossings, extensions, gate, log, metrics, validate
+from .operators import ingest as wire
 from .plans.service import Ingested, ingest
 from .sources.events import WINDOW_NS, detections
+from .sources.shared import scratch
 from .sources.simulator import START_NS, simulated
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -397,9 +397,169 @@ def streamed(spark: SparkSession, sf_dir: str, folder: str, files: int = 3) -> D
 
 @query(f"{_LOG} SELECT {_LOG_COLUMNS} FROM log")
 def streaming_log(spark, sf_dir):
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}" if shared else "file://" + tempfile.mkdtemp(prefix="tidemark-stream-")
-    return streamed(spark, sf_dir, folder).select(*_LOG_COLUMNS.replace('"', "").split(", "))
+    return streamed(spark, sf_dir, scratch(spark, "stream")).select(*_NAMES)
+
+
+_HEARD = _LOG.replace("marked AS (SELECT", """heard AS (SELECT * FROM det QUALIFY max((CAST(substr(detection_id, 3) AS BIGINT) % 97 = 0 OR CAST(substr(detection_id, 3) AS BIGINT) % 131 = 0)::INT)
+  OVER (PARTITION BY producer_id, arrival // 500 ORDER BY arrival ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) = 0),
+marked AS (SELECT""", 1).replace("AS high_water FROM det)", "AS high_water FROM heard)")
+
+
+def recorded(spark: SparkSession, sf_dir: str, framing: str) -> DataFrame:
+    """The frames of the events' sessions as they come off the wire. Of some the version is wrong, of some the payload is cut."""
+    from .sources.frames import FrameSource
+
+    spark.dataSource.register(FrameSource)
+    path, e = scratch(spark, "frames"), F.substring("detection_id", 3, 20).cast("long")
+    sent = wire.with_payloads(detections(spark, sf_dir)).select(
+        F.when(e % 97 == 0, 1).otherwise(0).cast("smallint").alias("protocol_version"), F.lit("Event").alias("message_type"), F.col("producer_id").alias("source_id"),
+        F.concat("producer_id", F.lit("/"), F.expr("arrival div 500").cast("string")).alias("stream_id"), F.col("arrival").alias("sequence_number"), F.lit(None).cast("string").alias("correlation_id"),
+        F.when(e % 131 == 0, F.substring("payload", 1, 9)).otherwise(F.col("payload")).alias("payload"), F.lit(None).cast("string").alias("traceparent"),
+    )
+    sent.repartition("stream_id").sortWithinPartitions("stream_id", "sequence_number").write.format("frames").option("framing", framing).mode("append").save(path)
+    return spark.read.format("frames").option("framing", framing).load(path)
+
+
+def _heard(frames: DataFrame) -> DataFrame:
+    good = frames.where("error IS NULL").withColumnsRenamed({"stream_id": "session", "sequence_number": "arrival"})
+    return ingest(wire.received(good.withColumn("registered_id", F.col("source_id"))), WINDOW_NS).log
+
+
+@query(f"{_HEARD} SELECT {_LOG_COLUMNS} FROM log")
+def frames_to_log(spark, sf_dir):
+    return _heard(recorded(spark, sf_dir, "stream"))
+
+
+@query(f"{_HEARD} SELECT {_LOG_COLUMNS} FROM log")
+def serial_frames_to_log(spark, sf_dir):
+    return _heard(recorded(spark, sf_dir, "serial"))
+
+
+_ENTRIES = "SELECT row_number() OVER (ORDER BY event_id) - 1 AS o, event_id * 10 AS appended_at_ns, 'p-' || user_id AS producer_id, props FROM events"
+
+
+@query(f'SELECT o AS "offset", appended_at_ns, producer_id, props AS event FROM ({_ENTRIES}) WHERE o < (SELECT count(*) FROM events) - 1')
+def segments_import(spark, sf_dir):
+    """Segment files, the last one torn within its last record."""
+    from .sources.frames import SegmentSource, _files, opened
+
+    spark.dataSource.register(SegmentSource)
+    rows = _events(spark, sf_dir).select((F.col("event_id") * 10).alias("appended_at_ns"), F.concat(F.lit("p-"), "user_id").alias("producer_id"), F.encode("props", "UTF-8").alias("event"), F.col("event_id").alias("trigger_arrival"), F.lit(False).alias("is_derived"), F.lit(0).alias("tie"))
+    n, path = rows.count(), scratch(spark, "segments")
+    numbered = log.with_offsets(rows).select("offset", "appended_at_ns", "producer_id", "event")
+    numbered.repartitionById(8, F.expr(f"CAST(offset * 8 div {n} AS INT)")).sortWithinPartitions("offset").write.format("segments").mode("append").save(path)
+    where, last = opened(path)[0], _files(path)[-1]
+    with where.open_input_stream(last) as f:
+        data = f.read()
+    with where.open_output_stream(last) as f:
+        f.write(data[:-7])
+    return spark.read.format("segments").load(path).withColumn("event", F.decode("event", "UTF-8"))
+
+
+_NAMES = _LOG_COLUMNS.replace('"', "").split(", ")
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> tuple[log.EventLog, list[DataFrame]]:
+    """A log with the first 300 entries in it, and the rest for another append."""
+    rows = _ingested(spark, sf_dir).log.withColumnRenamed("offset", "_place")
+    kept = log.EventLog(spark, scratch(spark, "log"))
+    kept.append(rows.where("_place < 300"), ["_place"], 1)
+    return kept, [rows.where("_place >= 300")]
+
+
+@query(f'{_LOG} SELECT {_LOG_COLUMNS} FROM log WHERE "offset" >= 100')
+def log_tail(spark, sf_dir):
+    """What is there, then what is appended while the first answer is read."""
+    kept, more = _stored(spark, sf_dir)
+    tail = kept.tail(100)
+    first = next(tail)
+    kept.append(more[0], ["_place"], 2)
+    return first.unionByName(next(tail)).select(*_NAMES)
+
+
+@query(f'{_LOG} SELECT {_LOG_COLUMNS} FROM log WHERE "offset" >= 250')
+def log_subscription(spark, sf_dir):
+    """The same as a stream that stops and goes on."""
+    from .streaming.pipeline import subscribe
+
+    kept, more = _stored(spark, sf_dir)
+    folder, schema = scratch(spark, "subscription"), kept.read_range(0).schema
+
+    def go_on() -> None:
+        subscribe(spark, kept.path, schema, 250).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out").awaitTermination()
+
+    go_on()
+    kept.append(more[0], ["_place"], 2)
+    go_on()
+    return spark.read.schema(schema).parquet(f"{folder}/out").select(*_NAMES)
+
+
+@query(f'{_LOG} SELECT {_LOG_COLUMNS.replace("producer_id, ", "")} FROM log WHERE "offset" >= 200 AND "offset" < 1200')
+def log_stored_page(spark, sf_dir):
+    """The page from a stored log: only the files that hold it are opened."""
+    kept, more = _stored(spark, sf_dir)
+    kept.append(more[0], ["_place"], 2)
+    return kept.read_page(200, 5000)[0].select(*[c for c in _NAMES if c != "producer_id"])
+
+
+def _rolled(spark: SparkSession, sf_dir: str) -> log.EventLog:
+    """Seven appends by the clock, segments of three by their age."""
+    rows = _events(spark, sf_dir).select("event_id", F.concat(F.lit("p-"), "user_id").alias("producer_id"))
+    kept = log.EventLog(spark, scratch(spark, "rolled"), max_age_ns=20)
+    for k in range(7):
+        kept.append(rows.where(f"event_id % 7 = {k}"), ["event_id"], 10 * k)
+    return kept
+
+
+_ROLLED = "SELECT row_number() OVER (ORDER BY event_id % 7, event_id) - 1 AS o, event_id, event_id % 7 AS k, 'p-' || user_id AS producer_id FROM events"
+
+
+@query(f"SELECT min(o) AS base_offset, max(o) AS last_offset, max(k) * 10 AS last_appended_at_ns, max(k) < 6 AS closed FROM ({_ROLLED}) GROUP BY k // 3")
+def log_segments(spark, sf_dir):
+    return _rolled(spark, sf_dir).segments().drop("byte_size")
+
+
+@query(f'SELECT o AS "offset", k * 10 AS appended_at_ns, producer_id, event_id FROM ({_ROLLED}) WHERE o >= 450')
+def log_evicted(spark, sf_dir):
+    kept = _rolled(spark, sf_dir)
+    kept.evict_below(450)
+    return kept.read_range(kept.earliest_offset()).select("offset", "appended_at_ns", "producer_id", "event_id")
+
+
+@query("SELECT requested, CASE WHEN requested < 450 THEN 450 END AS earliest, CASE WHEN requested < 450 THEN 410 ELSE 200 END AS status FROM (VALUES (0), (449), (450), (1000000000)) v(requested)")
+def log_expired(spark, sf_dir):
+    """What a reader is told: gone, there, or not there yet."""
+    kept = _rolled(spark, sf_dir)
+    kept.evict_below(450)
+    out = []
+    for requested in (0, 449, 450, 1_000_000_000):
+        try:
+            kept.read_range(requested, requested + 1)
+            out.append((requested, None, 200))
+        except log.RetentionExpired as e:
+            out.append((requested, e.earliest, log.status_of(e)))
+    return spark.createDataFrame(out, "requested int, earliest int, status int")
+
+
+_X = "xor(xor(c >> 8, b), xor(c >> 8, b) >> 4)"
+
+
+@query(f"""WITH t AS (SELECT event_id, user_id, event_type, props, list_transform(range(1, length(props) + 1), lambda i: CAST(ord(substr(props, i, 1)) AS BIGINT)) AS b FROM events)
+SELECT event_id, CAST(list_reduce(list_prepend(CAST(65535 AS BIGINT), b), lambda c, b: xor(xor(xor((c << 8) & 65535, ({_X} << 12) & 65535), ({_X} << 5) & 65535), {_X}) & 65535) AS INTEGER) AS crc16,
+xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), b), lambda c, b: list_reduce(list_prepend(xor(c, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda k, z: xor(k >> 1, 3988292384 * (k & 1)))), 4294967295) AS crc32,
+CASE WHEN event_id % 3 <> 0 THEN md5(props) END AS hex, event_type IN ('view', 'click') AS equal, 'a=1,b=' || user_id || ',c=3' AS labels,
+CASE event_type WHEN 'view' THEN 'Detection' WHEN 'error' THEN 'DetectorHealth' WHEN 'signup' THEN 'AdapterMetadata' END AS kind, true AS clock FROM t""")
+def scalar_codecs(spark, sf_dir):
+    t, kind = _events(spark, sf_dir), F.col("event_type")
+    digits = F.when(F.col("event_id") % 3 == 0, F.upper(F.concat(F.md5("props"), F.lit("a")))).otherwise(F.md5("props"))
+    labels = S.canonical_labels(F.create_map(F.lit("c"), F.lit("3"), F.lit("a"), F.lit("1"), F.lit("b"), F.col("user_id").cast("string")))
+    body = lambda name: F.when(kind == name, F.lit(1))
+    return t.select(
+        "event_id", S.crc16_ccitt_false(F.encode("props", "UTF-8")).alias("crc16"), S.crc32(F.encode("props", "UTF-8")).alias("crc32"), F.lower(F.hex(S.hex_bytes(digits, 16))).alias("hex"),
+        (S.bytes_equal(F.encode(kind, "UTF-8"), F.encode(F.lit("view"), "UTF-8")) | S.bytes_equal(kind, F.lit("click"))).alias("equal"),
+        F.array_join(F.transform(labels, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("labels"),
+        S.event_kind(Detection=body("view"), DetectorHealth=body("error"), AdapterMetadata=body("signup")).alias("kind"), (S.now_ns() > 1_700_000_000_000_000_000).alias("clock"),
+    )
 
 
 def queries() -> dict[str, Query]:

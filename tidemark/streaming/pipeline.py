@@ -146,6 +146,10 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def subscribe(spark: SparkSession, data: str, schema: T.StructType, start: int) -> DataFrame:
-    """Backfill and tail of a log's data folder from an offset, as a stream; the file source's checkpoint is the cursor."""
-    return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(data).where(F.col("offset") >= start)
+def subscribe(spark: SparkSession, log: str, schema: T.StructType, start: int) -> DataFrame:
+    """Backfill and tail of the log in a folder from an offset, as a stream; an offset that was evicted, at the start or
+    later, ends it with RetentionExpired, one that isn't there yet waits."""
+    from ..sources.entries import EntrySource
+
+    spark.dataSource.register(EntrySource)
+    return spark.readStream.format("entries").schema(schema).option("startingOffset", start).load(log)
