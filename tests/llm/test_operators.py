@@ -196,6 +196,32 @@ def test_tokens_of_documents(spark, texts):
         assert all(dac.dac_get(codes[i][1], k) == want[k] for k in range(0, len(want), 97))
 
 
+@pytest.mark.parametrize("most_sent", [0, 500, 1 << 20])
+def test_words_of_several_chunks_are_replayed_once(spark, texts, most_sent, monkeypatch):
+    docs = spark.createDataFrame(list(texts.items())[:300], "doc_id bigint, text string").repartition(3)
+    made = lambda ids, missing, tokens, at, good: iter([pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(tokens)), pa.array(good)], names=["doc_id", "t", "good"])])
+    got = bpe.encoded(docs, bpe.vocabulary(), most_sent, made, "doc_id bigint, t array<int>, good boolean", most=20_000).collect()
+    other = Tokenizer.from_file(bpe.vocabulary())
+    other.encode_special_tokens = True
+    assert len(got) == 300 and all(r.good and r.t == other.encode(texts[r.doc_id], add_special_tokens=False).ids for r in got)
+    chunks = bpe.coded(docs, 20_000)
+    assert chunks.count() > 5
+    known = bpe.corpus_tokens(chunks, bpe.vocabulary(), most_sent)
+    assert len(known.hashes) <= most_sent and (most_sent < 1000 or len(known.hashes) > 500)
+
+
+def test_words_of_equal_hash_are_told_apart(monkeypatch, spark):
+    monkeypatch.setattr(bpe.xxhash, "xxh3_64_intdigest", lambda w: 7)
+    model = bpe.merges(bpe.vocabulary())
+    words = pa.array([b" hello", b" world"], pa.large_binary())
+    ids, at = model.replay(*bpe.flat_bytes(words))
+    known = bpe.Tokens(np.array([7], np.uint64), ids[: at[1]], np.array([at[1]]))
+    place = known.find(words)
+    assert place.tolist() == [0, 0]
+    size = known.size[place]
+    assert bpe._decodes(model, words, bpe.gathered_ranges(known.tokens, known.at[place], size), size).tolist() == [True, False]
+
+
 _PIECES = st.sampled_from(["'s", "'ve", "'", " ", "  ", "\n", "\t", "\xa0", "　", "a", "Z", "é", "ß", "日本", "1", "²", "½", "!", "...", "😀", "the", " the", "re", "ll", "aaaa", "́", "\r\n", "\x1c"])
 
 

@@ -1,9 +1,10 @@
-"""Byte-level BPE by replaying the merge list over all distinct words of a chunk of the corpus at once.
+"""Byte-level BPE by replaying the merge list over the corpus's distinct words.
 
-Pre-tokens are found on the flat UTF-8 buffer with numpy and made distinct; an inverted index from merge rank
-(token pair) to word positions then gives, for each merge in rank order, the places it applies to, and only the
-pairs on either side of a merged place are looked up again. No shuffle: chunks are independent, as a word's
-tokens don't depend on other words.
+Pre-tokens are found on the flat UTF-8 buffer with numpy and made distinct in chunks, then, by a shuffle of the chunks'
+words, over the corpus. An inverted index from merge rank (token pair) to word positions gives, for each merge in rank
+order, the places it applies to, and only the pairs on either side of a merged place are looked up again. Texts are
+kept as codes of their chunk's words and take the words' tokens from the corpus's table; words that no other chunk has
+are replayed with their chunk.
 """
 
 from __future__ import annotations
@@ -12,22 +13,24 @@ import functools
 import heapq
 import json
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import flat_bytes, gathered, gathered_ranges
+from .shared import written
 
 #: Folder of the public tokenizers; a parameter of every operator that needs one.
 TOKENIZERS = "/opt/tokenizers"
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 WIDE = 1 << 20
-#: Text bytes whose distinct words are replayed together.
-REPLAY_BYTES = 8 << 20
+#: Text bytes of a chunk; distinct words of the corpus that one task replays.
+REPLAY_BYTES, REPLAY_WORDS = 8 << 20, 1 << 18
 _SPACES = (*range(9, 14), 0x20, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
 
 
@@ -233,37 +236,155 @@ def vocabulary(tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k.json") ->
     return f"{tokenizers.rstrip('/')}/{name}"
 
 
-def encoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each chunk: the rows, the bytes and offsets of their texts, the tokens and offsets of these."""
-    model = merges(path)
-    for batch in gathered(batches, most=REPLAY_BYTES):
-        data, offsets = flat_bytes(batch.column("text"))
-        yield batch, data, offsets, *model.encode(data, offsets)
+class Tokens:
+    """Tokens of the corpus's frequent words, replayed once: sorted hashes, and each word's tokens."""
 
+    def __init__(self, hashes: np.ndarray, tokens: np.ndarray, size: np.ndarray):
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, at = hashes[order], np.concatenate(([0], np.cumsum(size)))[:-1]
+        self.at, self.size, self.tokens = at[order], size[order], tokens
+
+    def find(self, words: pa.Array) -> np.ndarray:
+        """The place of each word, -1 where there is none. A word of equal hash may be another one."""
+        if not len(self.hashes):
+            return np.full(len(words), -1)
+        own = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in words.to_pylist()), np.uint64, len(words))
+        k = np.minimum(np.searchsorted(self.hashes, own), len(self.hashes) - 1)
+        return np.where(self.hashes[k] == own, k, -1)
 
-def bpe_encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k.json", rows: int = 2000) -> DataFrame:
-    """Tokens of every text: (doc_id, token_ids, round_trip).
 
-    ``round_trip`` says that decoding the tokens gave the text's bytes again. A null text has null tokens and a null
-    ``round_trip``; an empty text has no tokens and round-trips. Rows come out one for one, repeated ones too, null
-    ids kept; other columns of the input are not read, whatever their names.
+def coded(docs: DataFrame, most: int = REPLAY_BYTES) -> DataFrame:
+    """Chunks of about ``most`` bytes of text as word codes, a row each: (ids, counts, codes, words, ends).
+
+    ``counts`` has each text's number of words, -1 for null, ``codes`` the words of all texts as places in ``words``,
+    the bytes of the chunk's distinct words with their ``ends``.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in gathered(batches, most=most):
+            data, offsets = flat_bytes(batch.column("text"))
+            starts = pre_tokens(data, offsets)
+            bounds = np.append(starts, len(data)).astype(np.int64)
+            column = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
+            made = column.dictionary_encode()
+            codes = made.indices.to_numpy(zero_copy_only=False).astype(np.int32) if len(starts) else np.zeros(0, np.int32)
+            words, at = flat_bytes(made.dictionary)
+            counts = np.where(batch.column("text").is_null().to_numpy(zero_copy_only=False), -1, np.diff(np.searchsorted(starts, offsets))).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column("doc_id"))
+            blobs = [pa.array([x.tobytes()], pa.binary()) for x in (counts, codes, words, at[1:].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays([ids, *blobs], names=["ids", "counts", "codes", "words", "ends"])
+
+    return docs.mapInArrow(run, f"ids array<{kind}>, counts binary, codes binary, words binary, ends binary")
+
+
+def _words(batch: pa.RecordBatch, k: int) -> pa.Array:
+    ends = np.frombuffer(batch.column("ends")[k].as_buffer(), np.int32)
+    bounds = np.concatenate(([0], ends)).astype(np.int64)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(bounds), batch.column("words")[k].as_buffer()])
+
+
+def corpus_tokens(chunks: DataFrame, path: str, most_sent: int) -> Tokens:
+    """Tokens of the words that more than one chunk has, from a replay over all of them.
+
+    Words are made distinct over the corpus by a shuffle of chunks' distinct words. If there are more than
+    ``most_sent`` words, those of fewer chunks are left to the chunks. Others are in one chunk only and replayed there,
+    so that each word of the corpus is replayed once.
     """
-    path = vocabulary(tokenizers, name)
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own = _words(batch, k)
+                for a in range(0, len(own), 100_000):
+                    yield pa.RecordBatch.from_arrays([own.slice(a, 100_000).cast(pa.binary())], names=["word"])
+
+    def replayed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b.column("word") for b in batches]
+        own = pa.chunked_array(held, pa.binary()).combine_chunks() if held else pa.array([], pa.binary())
+        if not len(own):
+            return
+        ids, at = merges(path).replay(*flat_bytes(own))
+        hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in own.to_pylist()), np.uint64, len(own))
+        tokens = [ids[a:b].tobytes() for a, b in zip(at.tolist(), at[1:].tolist())]
+        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(tokens, pa.binary())], names=["hash", "tokens"])
+
+    spark = chunks.sparkSession
+    words = written(chunks.select("words", "ends").mapInArrow(listed, "word binary").groupBy("word").count().where("count > 1"))
+    by_count = {r["count"]: r.n for r in words.groupBy("count").agg(F.count("*").alias("n")).collect()}
+    total, least = 0, max(by_count, default=2) + 1
+    for c in sorted(by_count, reverse=True):
+        if total + by_count[c] > most_sent:
+            break
+        total, least = total + by_count[c], c
+    if not total:
+        return Tokens(np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int64))
+    tasks = max(1, min(-(-total // REPLAY_WORDS), spark.sparkContext.defaultParallelism))
+    table = words.where(F.col("count") >= least).select("word").repartition(tasks).mapInArrow(replayed, "hash long, tokens binary").toArrow()
+    data, at = flat_bytes(table.column("tokens"))
+    return Tokens(table.column("hash").to_numpy().view(np.uint64), data.view(np.int32), np.diff(at) // 4)
+
+
+def encoded(docs: DataFrame, path: str, most_sent: int, made: Callable[[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], schema: str, most: int = REPLAY_BYTES) -> DataFrame:
+    """What ``made`` gives for each chunk of (doc_id, text): of ids, which texts are null, tokens, offsets into them and
+    which texts' tokens decode to their bytes. The corpus is read once, then its words' codes."""
+    chunks = written(coded(docs, most), {"parquet.block.size": 64 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1})
+    sent = docs.sparkSession.sparkContext.broadcast(corpus_tokens(chunks, path, most_sent))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, data, offsets, tokens, at in encoded(batches, path):
-            back, back_at = merges(path).decode(tokens, at)
-            same = np.array_equal(back_at, offsets) and np.array_equal(back, data)
-            good = np.ones(batch.num_rows, bool) if same else np.array([data[a:b].tobytes() == back[c:d].tobytes() for a, b, c, d in zip(offsets, offsets[1:], back_at, back_at[1:])])
-            missing = batch.column("text").is_null().to_numpy(zero_copy_only=False)
-            for a in range(0, batch.num_rows, rows):
-                b = min(a + rows, batch.num_rows)
-                none = pa.array(missing[a:b])
-                lists = pa.ListArray.from_arrays(pa.array((at[a : b + 1] - at[a]).astype(np.int32)), pa.array(tokens[at[a] : at[b]]), mask=none)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), lists, pa.array(good[a:b], mask=missing[a:b])], names=["doc_id", "token_ids", "round_trip"])
+        model, known = merges(path), sent.value
+        for batch in batches:
+            for k in range(batch.num_rows):
+                counts, codes = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int32) for c in ("counts", "codes"))
+                words = _words(batch, k)
+                size, at, there = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), known.find(words)
+                found = np.flatnonzero(there >= 0)
+                size[found], at[found] = known.size[there[found]], known.at[there[found]]
+                right = np.zeros(len(words), bool)
+                right[found] = _decodes(model, words.take(pa.array(found)), gathered_ranges(known.tokens, at[found], size[found]), size[found])
+                rest = np.flatnonzero(~right)  # words that only this chunk has
+                ids, own = model.replay(*flat_bytes(words.take(pa.array(rest))))
+                size[rest], at[rest] = np.diff(own), own[:-1] + len(known.tokens)
+                right[rest] = _decodes(model, words.take(pa.array(rest)), ids, size[rest])
+                all_ids = np.concatenate((known.tokens, ids)) if len(rest) else known.tokens
+                tokens = gathered_ranges(all_ids, at[codes], size[codes])
+                ends = np.concatenate(([0], np.cumsum(np.maximum(counts, 0))))
+                token_at = np.concatenate(([0], np.cumsum(size[codes])))[ends]
+                wrong = np.concatenate(([0], np.cumsum(~right[codes])))[ends]
+                yield from made(batch.column("ids")[k].values, counts < 0, tokens, token_at, np.diff(wrong) == 0)
+
+    return chunks.mapInArrow(run, schema)
+
+
+def _decodes(model: Merges, words: pa.Array, tokens: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether each word's tokens give its bytes again."""
+    if not len(words):
+        return np.zeros(0, bool)
+    data, at = flat_bytes(words)
+    back, back_at = model.decode(tokens, np.concatenate(([0], np.cumsum(size))))
+    if np.array_equal(at, back_at) and np.array_equal(data, back):
+        return np.ones(len(words), bool)
+    return np.array([data[a:b].tobytes() == back[c:d].tobytes() for a, b, c, d in zip(at, at[1:], back_at, back_at[1:])])
+
+
+def bpe_encode(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k.json", rows: int = 2000, most_sent: int = 1 << 20) -> DataFrame:
+    """Tokens of every text: (doc_id, token_ids, round_trip).
+
+    ``round_trip`` says that decoding the tokens gives the bytes of all of the text's words, of which it consists. A
+    null text has null tokens and a null ``round_trip``; an empty text has no tokens and round-trips; texts of any
+    length are whole. Rows come out one for one, repeated ones too, null ids kept; an empty table gives no rows; other
+    columns of the input are not read, whatever their names. ``most_sent`` is how many words' tokens are broadcast at
+    most (about 40 bytes each); tokens are the same for any.
+    """
+
+    def made(ids: pa.Array, missing: np.ndarray, tokens: np.ndarray, at: np.ndarray, good: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(ids), rows):
+            b = min(a + rows, len(ids))
+            lists = pa.ListArray.from_arrays(pa.array((at[a : b + 1] - at[a]).astype(np.int32)), pa.array(tokens[at[a] : at[b]]), mask=pa.array(missing[a:b]))
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), lists, pa.array(good[a:b], mask=missing[a:b])], names=["doc_id", "token_ids", "round_trip"])
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema[0].dataType.simpleString()}, token_ids array<int>, round_trip boolean")
+    return encoded(own, vocabulary(tokenizers, name), most_sent, made, f"doc_id {own.schema[0].dataType.simpleString()}, token_ids array<int>, round_trip boolean")
 
 
 def bpe_decode(tokens: DataFrame, doc_id: str = "doc_id", token_ids: str = "token_ids", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k.json") -> DataFrame:

@@ -108,21 +108,20 @@ def dac_decode(code: bytes) -> np.ndarray:
     return out
 
 
-def token_codes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k.json", rows: int = 4000) -> DataFrame:
+def token_codes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tokenizers: str = TOKENIZERS, name: str = "byte_bpe_50k.json", rows: int = 4000, most_sent: int = 1 << 20) -> DataFrame:
     """Every text's token ids in directly addressable form: (doc_id, n_tokens, codes).
 
-    A null text has null tokens and codes; an empty one has 0 tokens and a code without entries. Rows come out one
-    for one, repeated ones too, null ids kept; other columns of the input are not read, whatever their names.
+    A null text has null tokens and codes; an empty one has 0 tokens and a code without entries; texts of any length are
+    whole. Rows come out one for one, repeated ones too, null ids kept; an empty table gives no rows; other columns of
+    the input are not read, whatever their names. ``most_sent`` is as in bpe_encode.
     """
-    path = vocabulary(tokenizers, name)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, _, _, tokens, at in encoded(batches, path):
-            codes = dac_batch(tokens, at)
-            missing = batch.column("text").is_null().to_numpy(zero_copy_only=False)
-            for a in range(0, batch.num_rows, rows):
-                b = min(a + rows, batch.num_rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(at[a : b + 1]), pa.int32(), mask=missing[a:b]), pa.array([None if m else c for m, c in zip(missing[a:b], codes[a:b])], pa.binary())], names=["doc_id", "n_tokens", "codes"])
+    def made(ids: pa.Array, missing: np.ndarray, tokens: np.ndarray, at: np.ndarray, _: np.ndarray) -> Iterator[pa.RecordBatch]:
+        codes = dac_batch(tokens, at)
+        for a in range(0, len(ids), rows):
+            b = min(a + rows, len(ids))
+            own = pa.array([None if m else c for m, c in zip(missing[a:b], codes[a:b])], pa.binary())
+            yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array(np.diff(at[a : b + 1]), pa.int32(), mask=missing[a:b]), own], names=["doc_id", "n_tokens", "codes"])
 
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return own.mapInArrow(run, f"doc_id {own.schema[0].dataType.simpleString()}, n_tokens int, codes binary")
+    return encoded(own, vocabulary(tokenizers, name), most_sent, made, f"doc_id {own.schema[0].dataType.simpleString()}, n_tokens int, codes binary")

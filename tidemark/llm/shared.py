@@ -25,11 +25,11 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, options: dict | None = None) -> DataFrame:
     """``df`` as a Parquet table in the shared folder, read again; it is removed when Python ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.options(compression="zstd", **{k: str(v) for k, v in (options or {}).items()}).parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
