@@ -15,8 +15,8 @@ from collections import defaultdict
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Parts that the ranking of each length is divided into, so that a frequent length isn't one task's work.
-SALTS = 64
+#: Pieces of one length that are ranked together; a length has as many parts as its pieces ask for.
+RANKED = 1 << 18
 
 
 def packing_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
@@ -91,13 +91,14 @@ def packing_plan(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int,
     return segments, bins
 
 
-def best_fit_packing(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 8192) -> DataFrame:
+def best_fit_packing(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 8192, ranked: int = RANKED) -> DataFrame:
     """Where every piece of every text goes: (doc_id, start, length, bin_id, bin_offset).
 
     Lengths are bytes of UTF-8, that is byte-level tokens. A text longer than ``capacity`` is cut into full pieces and a
     rest; ``start`` is a piece's first byte in its text. A null or empty text has one row with length 0 and no bin.
-    Repeated rows are packed once each; equal lengths go by the hash of id and start, then id. Null ids are packed as
-    any other; other columns of the input are not read; an empty table gives no rows.
+    Texts of any length are whole. Repeated rows are packed once each; equal lengths go by the hash of id and start, then id. Null ids are packed as
+    any other; other columns of the input are not read, whatever their names; an empty table gives no rows. ``ranked`` is about
+    how many pieces of one length a task ranks.
     """
     from .shared import written
 
@@ -107,18 +108,21 @@ def best_fit_packing(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
     last = F.greatest(F.ceil(F.col("size") / capacity) - 1, F.lit(0)).cast("long")
     pieces = own.select("doc_id", "size", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("k"))
     pieces = pieces.select("doc_id", (F.col("k") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("size") - F.col("k") * capacity).alias("length"))
-    pieces = written(pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "start"), F.lit(SALTS)).cast("int")))
-    counts = written(pieces.where("length > 0").groupBy("length", "salt").count())
-    totals = {r.length: r.n for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
+    pieces = written(pieces)
+    totals = {r.length: r["count"] for r in pieces.where("length > 0").groupBy("length").count().collect()}
+    parts = spark.createDataFrame([(n, -(-c // ranked)) for n, c in totals.items()], "s_length long, s_parts long")  # one row for each length
+    salted = pieces.where("length > 0").join(F.broadcast(parts), F.col("length") == F.col("s_length"))
+    salted = salted.select("doc_id", "start", "length", F.pmod(F.xxhash64("doc_id", "start"), F.col("s_parts")).alias("salt"))
+    counts = salted.groupBy("length", "salt").count()
     segments, _ = packing_plan(totals, capacity)
     schema = "p_length long, p_first long, p_n long, p_bin long, p_each long, p_offset long"
     plan = spark.createDataFrame(segments, schema)
     before = F.coalesce(F.sum("count").over(Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = counts.select("length", "salt", before.alias("before"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy(F.col("doc_id").asc_nulls_first(), "start")) - 1
-    ranked = pieces.where("length > 0").withColumn("rank", rank).join(shifts, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    numbered = salted.withColumn("rank", rank).join(shifts, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
     here = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("p_first")) & (F.col("rank") < F.col("p_first") + F.col("p_n"))
     nth = F.col("rank") - F.col("p_first")
-    packed = ranked.join(F.broadcast(plan), here).select("doc_id", "start", "length", (F.col("p_bin") + F.expr("(rank - p_first) div p_each")).alias("bin_id"), (F.col("p_offset") + F.pmod(nth, F.col("p_each")) * F.col("length")).alias("bin_offset"))
+    packed = numbered.join(F.broadcast(plan), here).select("doc_id", "start", "length", (F.col("p_bin") + F.expr("(rank - p_first) div p_each")).alias("bin_id"), (F.col("p_offset") + F.pmod(nth, F.col("p_each")) * F.col("length")).alias("bin_offset"))
     none = pieces.where("length = 0").select("doc_id", "start", "length", F.lit(None).cast("long").alias("bin_id"), F.lit(None).cast("long").alias("bin_offset"))
     return packed.unionByName(none)
