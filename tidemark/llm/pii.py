@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import byte_slices, gathered
-from .shared import sampled, written
+from .shared import written
 
 KINDS = ("SECRET", "KEY", "EMAIL", "IP", "IBAN", "CARD", "SSN", "PHONE", "NAME")
 LABELERS = ("regex", "checksum", "gazetteer", "context", "boundary")
@@ -200,19 +200,21 @@ def posteriors(counts: dict[tuple[str, str], int], rounds: int = 50) -> dict[tup
     return out
 
 
-def fit_spans(feats: list[list[int]], soft: list[float], steps: int = 200, l2: float = 1e-3) -> np.ndarray:
-    """Weights of a logistic classifier on hashed features (the last weight is the constant)."""
+def fit_spans(feats: list[list[int]], soft: list[float], weight: list[float], steps: int = 200, l2: float = 1e-3) -> np.ndarray:
+    """Weights of a logistic classifier on hashed features (the last weight is the constant); ``weight`` says how many
+    spans each stands for."""
     w = np.zeros(HASHED + 1)
     w[-1] = 0.5
     if not feats:
         return w
     size = np.array([len(f) for f in feats])
     rows, flat = np.repeat(np.arange(len(feats)), size), np.concatenate([np.array(f, np.int64) for f in feats])
-    y = np.array(soft)
+    y, each = np.array(soft), np.array(weight) / np.sum(weight)
     speed = np.full(len(w), 1e-8)
     for _ in range(steps):
         p = 1 / (1 + np.exp(-(np.bincount(rows, weights=w[flat], minlength=len(y)) + w[-1])))
-        g = np.append(np.bincount(flat, weights=(p - y)[rows], minlength=HASHED), (p - y).sum()) / len(y) + l2 * w
+        off = (p - y) * each
+        g = np.append(np.bincount(flat, weights=off[rows], minlength=HASHED), off.sum()) + l2 * w
         speed += g * g
         w -= 0.5 * g / np.sqrt(speed)
     return w
@@ -231,21 +233,38 @@ def proposals(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, start int, end int, kind string, votes string, features array<int>")
 
 
+def shares(counts: dict[tuple[str, str], int], most: int) -> dict[tuple[str, str], float]:
+    """Which share of each kind and pattern of votes to fit on: rare ones whole, of the others as many each as ``most`` allows."""
+    left, groups, out = most, sorted(counts.items(), key=lambda x: (x[1], x[0])), {}
+    for k, (group, n) in enumerate(groups):
+        taken = min(n, left / (len(groups) - k))
+        out[group] = taken / n
+        left -= taken
+    return out
+
+
 def trained(found: DataFrame, most: int) -> np.ndarray:
-    """The span classifier: reliabilities from the votes of all proposals, weights from at most ``most`` of them, by hash."""
+    """The span classifier: reliabilities from the votes of all proposals, weights from about ``most`` of them, by hash
+    within each kind and pattern of votes, each weighing as many as it stands for."""
     counts = {(r.kind, r.votes): r["count"] for r in found.groupBy("kind", "votes").count().collect()}
-    truth = posteriors(counts)
-    chosen = sampled(found, ["doc_id", "start", "end"], most, sum(counts.values()))
-    sample = sorted(chosen.select("kind", "votes", "features").collect())[:most]
-    return fit_spans([r.features for r in sample], [truth[r.kind, r.votes] for r in sample])
+    truth, share = posteriors(counts), shares(counts, most)
+    rates = found.sparkSession.createDataFrame([(*g, int(x * (1 << 62))) for g, x in share.items()], "r_kind string, r_votes string, below long")
+    here = (F.col("kind") == F.col("r_kind")) & (F.col("votes") == F.col("r_votes")) & (F.xxhash64("doc_id", "start", "end").bitwiseAND((1 << 62) - 1) < F.col("below"))
+    sample = sorted(found.join(F.broadcast(rates), here).select("kind", "votes", "features").collect())
+    there: dict[tuple[str, str], int] = defaultdict(int)
+    for r in sample:
+        there[r.kind, r.votes] += 1
+    return fit_spans([r.features for r in sample], [truth[r.kind, r.votes] for r in sample], [counts[r.kind, r.votes] / there[r.kind, r.votes] for r in sample])
 
 
 def pii_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", most: int = 20000, accept: float = 0.5) -> DataFrame:
     """Personal data in whole texts: (doc_id, start, end, kind, probability), one row for each span that is accepted.
 
-    ``start`` and ``end`` count characters. The votes of all proposals are used; the classifier is fitted on at most
-    ``most`` of them. Null and empty texts have no spans; a null id is kept as such; repeated rows give their spans
-    once each. Other columns of the input are not read; an empty table gives no rows.
+    ``start`` and ``end`` count characters. Patterns match in whole texts of any length; of overlapping proposals the
+    first kind's counts, then the earlier one. Labelers see a proposal with 48 characters before it and 4 after. The
+    votes of all proposals are used; the classifier is fitted on about ``most`` of them, every kind and pattern of votes
+    among them. Null and empty texts have no spans; a null id is kept as such; repeated rows give their spans once each.
+    Other columns of the input are not read, whatever their names; an empty table gives no rows.
     """
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     found = written(proposals(own))
@@ -283,7 +302,8 @@ def redacted(column: pa.Array, w: np.ndarray, accept: float) -> list[str | None]
 def pii_redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", length: str | None = "n_chars", most: int = 20000, accept: float = 0.5) -> DataFrame:
     """All rows and columns of the input, with the spans of pii_spans replaced in the text by <KIND>, and the column
     ``length``, if there is one, set to the new number of characters where the text was changed. Rows are not joined
-    or moved: the classifier goes to them."""
+    or moved: the classifier goes to them. Null and empty texts, null ids and repeated rows stay as they are; columns may
+    have any names; an empty table gives no rows."""
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     w = trained(written(proposals(own)), most)
     sent = own.sparkSession.sparkContext.broadcast(w)
