@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from tidemark.llm import bpe, dac, exact, fingerprint, licenses, packing, pii, quality, simhash
+from tidemark.llm import bpe, dac, exact, fingerprint, licenses, packing, pii, quality, shared, simhash
 from tidemark.llm import queries as Q
 
 SF = "/root/testdata/sf0.01"
@@ -76,8 +76,10 @@ def test_packing_plan(lengths, capacity):
     assert Counter(capacity - sum(n for _, n in own) for own in fill.values()) == gaps_by_hand(lengths, capacity)
 
 
-def test_packing_of_documents(spark, texts):
-    rows = run(spark, "op1_best_fit_packing").collect()
+@pytest.mark.parametrize("ranked", [packing.RANKED, 7])
+def test_packing_of_documents(spark, texts, ranked):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = (run(spark, "op1_best_fit_packing") if ranked == packing.RANKED else packing.best_fit_packing(docs, ranked=ranked)).collect()
     by_bin = defaultdict(list)
     parts = defaultdict(list)
     for r in rows:
@@ -378,6 +380,24 @@ def test_near_duplicates_with_string_ids(spark):
     assert sorted(r.doc_id for r in simhash.near_dedup(docs).collect()) == ["a", "c"]
 
 
+def test_long_lists_are_asked_by_a_filter(spark):
+    values = spark.range(0, 40_000, 2).selectExpr("xxhash64(id) AS v")
+    asked = spark.range(0, 40_000).selectExpr("id", "xxhash64(id) AS v")
+    for bits, most in ((1 << 30, 0.005), (1 << 17, 0.8)):
+        got = asked.where(shared.may_be_in(values, 20_000, asked["v"], bits)).select("id").collect()
+        assert {r.id for r in got if r.id % 2 == 0} == set(range(0, 40_000, 2))
+        assert sum(r.id % 2 for r in got) <= most * 20_000
+
+
+def test_only_texts_of_repeated_digests_move(spark, texts):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    kept = exact.exact_dedup(docs, copies=10**9, most_sent=0)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted({t: i for i, t in reversed(texts.items())}.values())
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    exchange = plan.index("Exchange hashpartitioning")
+    assert "told(" in plan[exchange:]  # rows are asked before they are shuffled
+
+
 @pytest.mark.parametrize("copies", [2, 32])
 def test_exact_duplicates(spark, texts, copies):
     first = {}
@@ -513,6 +533,40 @@ def test_pii_spans_are_not_cut(spark):
     assert clean == {**{k: "We met Mr. <NAME> in the town" for k in range(4)}, 4: "the password: <SECRET> then"}
 
 
+def test_pii_by_hand(spark, texts):
+    """Every step in plain loops: whole-text proposals, votes, posteriors of their counts, the fit, the decision."""
+    found = []
+    for i, t in texts.items():
+        for a, b, kind in spans_by_hand(t):
+            before, after = t[max(0, a - 48) : a], t[b : b + 4]
+            votes = pii.votes(kind, t[a:b], before, after)
+            found.append((i, a, b, kind, votes, pii.span_features(kind, t[a:b], before, after, votes)))
+    truth = pii.posteriors(Counter((f[3], f[4]) for f in found))
+    order = sorted(found, key=lambda f: (f[3], f[4], f[5]))
+    w = [0.0] * pii.HASHED + [0.5]
+    speed = [1e-8] * len(w)
+    for _ in range(200):
+        grad = defaultdict(float)
+        for f in order:
+            off = (1 / (1 + math.exp(-(sum(w[x] for x in f[5]) + w[-1]))) - truth[f[3], f[4]]) / len(order)
+            for x in [*f[5], pii.HASHED]:
+                grad[x] += off
+        for x in range(len(w)):
+            g = grad[x] + 1e-3 * w[x]
+            speed[x] += g * g
+            w[x] -= 0.5 * g / math.sqrt(speed[x])
+    p = {f[:4]: 1 / (1 + math.exp(-(sum(w[x] for x in f[5]) + w[-1]))) for f in found}
+    got = {(r.doc_id, r.start, r.end, r.kind): r.probability for r in run(spark, "op7_pii").collect()}
+    assert set(got) == {k for k, x in p.items() if x >= 0.5} and all(abs(got[k] - p[k]) < 1e-6 for k in got)
+
+
+def test_rare_kinds_are_fitted_on():
+    counts = {("IBAN", "+++++"): 3, ("IP", "+++++"): 10**7, ("IP", "-----"): 10**6, ("CARD", "+++++"): 5000}
+    share = pii.shares(counts, 20_000)
+    assert share["IBAN", "+++++"] == share["CARD", "+++++"] == 1 and abs(sum(counts[g] * x for g, x in share.items()) - 20_000) < 1
+    assert set(pii.shares(counts, 10**9).values()) == {1.0} and pii.shares({}, 5) == {}
+
+
 def test_reliabilities():
     counts = {("IP", "+++++"): 900, ("IP", "--0-+"): 400, ("IP", "+-0++"): 10}
     p = pii.posteriors(counts)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import may_be_in, written
 
 
 def misra_gries(summary: tuple[np.ndarray, np.ndarray], digests: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -86,21 +86,25 @@ def exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text"
 
 
 def exact_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", heavy: int = 256, copies: int = 32, winner_bytes: int = 32 << 20, most_sent: int = 4 << 20) -> DataFrame:
-    """The rows that exact_duplicates keeps, with all columns of the input. Ties on the id go by the hash of the row.
+    """The rows that exact_duplicates keeps, with all columns of the input, whatever their names. Ties on the id go by
+    the hash of the row; null texts all stay, of empty ones one; texts of any length are compared whole; an empty table
+    gives no rows.
 
-    Only texts whose 64-bit digest occurs more than once are shuffled, if the list of these digests is no longer than
-    ``most_sent`` (8 bytes each, broadcast); else all that the heavy texts leave.
+    Only texts whose 64-bit digest occurs more than once are shuffled. The list of these digests is broadcast up to
+    ``most_sent`` of them (8 bytes each); of a longer one a Bloom filter is, which lets few others through.
     """
     rows = _marked(docs, doc_id, text, heavy, copies, winner_bytes).where("_winner IS NULL")
     contested = written(rows.where("_text IS NOT NULL").groupBy("_h").count().where("count > 1").select(F.col("_h").alias("_ch")))
-    here = F.col("_h") == F.col("_ch")
-    few = contested.count() <= most_sent
-    shared = rows.join(F.broadcast(contested), here, "left_semi") if few else rows
+    here, n = F.col("_h") == F.col("_ch"), contested.count()
+    if n <= most_sent:
+        shared, others = (rows.join(F.broadcast(contested), here, how) for how in ("left_semi", "left_anti"))
+    else:
+        told = rows.withColumn("_may", may_be_in(contested, n, F.col("_h")))
+        shared, others = told.where("_may"), told.where("NOT _may")
     digest = F.when(F.col("_text").isNotNull(), F.unhex(F.sha2("_text", 256)))
     # A null text gets a digest of its own kind from the row's place, as it is no copy of anything.
     single = F.coalesce(digest, F.concat(F.lit(b"null"), F.encode(F.monotonically_increasing_id().cast("string"), "utf-8")))
     place, _ = _rank([F.xxhash64("_row")])
     kept = shared.select("_row", "_id", single.alias("_digest")).withColumn("_place", place).where("_place = 1").select("_row")
-    if few:
-        kept = kept.unionByName(rows.join(F.broadcast(contested), here, "left_anti").select("_row"))
+    kept = kept.unionByName(others.select("_row"))
     return kept.select(*[F.col(f"_row.c{i}").alias(c) for i, c in enumerate(docs.columns)])

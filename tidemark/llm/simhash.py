@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .flat import distinct, flat_bytes, gathered, row_of, words
-from .shared import written
+from .shared import may_be_in, written
 
 BITS, BYTES = 256, 32
 PUNCTUATION = ".,;:!?\"'`()[]{}<>|#$%&*+-=/\\~^_@…–—«»¿¡“”‘’"
@@ -505,9 +505,14 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def near_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: float = 0.17, distance: float = 0.13, target: float = 0.95, leaf: int = 64, most_sent: int = 4 << 20) -> DataFrame:
-    """The rows that near_duplicates keeps, with all columns of the input. The rows that go, by id and
-    hash of the text, are broadcast up to ``most_sent`` of them, beyond that joined by a shuffle."""
+    """The rows that near_duplicates keeps, with all columns of the input, whatever their names; null texts, texts
+    without words and rows without id stay; an empty table gives no rows. The rows that go, by id and hash of the text,
+    are broadcast up to ``most_sent`` of them; beyond that a Bloom filter of their texts' hashes says which rows are
+    compared with them by a shuffle."""
     lost = written(_decided(docs, doc_id, text, radius, distance, target, leaf).where("is_duplicate").select(F.col("doc_id").alias("_lost_id"), F.col("row").alias("_lost_row")).distinct())
-    if lost.count() <= most_sent:
-        lost = F.broadcast(lost)
-    return docs.join(lost, (docs[doc_id] == lost["_lost_id"]) & (F.xxhash64(docs[text]) == lost["_lost_row"]), "left_anti")
+    n, own = lost.count(), F.xxhash64(docs[text])
+    goes = (docs[doc_id] == lost["_lost_id"]) & (own == lost["_lost_row"])
+    if n <= most_sent:
+        return docs.join(F.broadcast(lost), goes, "left_anti")
+    may = may_be_in(lost.select("_lost_row"), n, own)
+    return docs.where(may).join(lost, goes, "left_anti").union(docs.where(~may))
