@@ -38,6 +38,19 @@ def written(df: DataFrame, options: dict | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> int:
+    """How many scratch tables there are; a mark for ``drop``."""
+    return len(_made)
+
+
+def drop(since: int, last: int = 1) -> None:
+    """Removes the scratch tables made since a mark, but for the last ones; whoever calls knows that they were read."""
+    gone = _made[since : len(_made) - last]
+    del _made[since : len(_made) - last]
+    for spark, path in gone:
+        _delete(spark, path)
+
+
 class Members:
     """Which values may be in a list of longs that is too long to send: a Bloom filter of bounded size.
 
@@ -93,10 +106,13 @@ def sampled(df: DataFrame, keys: list[str], most: int, n: int) -> DataFrame:
     return df.where(F.xxhash64(*keys).bitwiseAND((1 << 62) - 1) < int(0.97 * most / n * (1 << 62)))
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 @atexit.register
 def _remove() -> None:
     for spark, path in _made:
         with contextlib.suppress(Exception):  # the JVM may have ended
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(spark, path)
