@@ -416,7 +416,7 @@ def recorded(spark: SparkSession, sf_dir: str, framing: str) -> DataFrame:
         F.concat("producer_id", F.lit("/"), F.expr("arrival div 500").cast("string")).alias("stream_id"), F.col("arrival").alias("sequence_number"), F.lit(None).cast("string").alias("correlation_id"),
         F.when(e % 131 == 0, F.substring("payload", 1, 9)).otherwise(F.col("payload")).alias("payload"), F.lit(None).cast("string").alias("traceparent"),
     )
-    sent.repartition("stream_id").sortWithinPartitions("stream_id", "sequence_number").write.format("frames").option("framing", framing).mode("append").save(path)
+    sent.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "stream_id").sortWithinPartitions("stream_id", "sequence_number").write.format("frames").option("framing", framing).mode("append").save(path)
     return spark.read.format("frames").option("framing", framing).load(path)
 
 
