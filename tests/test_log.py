@@ -1,4 +1,7 @@
+from pathlib import Path
+
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import log as L
 from tidemark.operators.crossings import crossings
@@ -137,3 +140,20 @@ def test_interleaved_offsets(spark, stretch):
 def test_named_detections_alone_make_no_crossing(spark):
     made = ingest(spark.createDataFrame([row(k, "a", "car", 0.4 * k) for k in range(5)], SCHEMA), 2 * S)
     assert made.log.count() == 5 and L.bounds(made.log).first().latest_offset == 4
+
+
+def test_long_append_is_numbered_by_many_tasks(spark, folder, monkeypatch):
+    """What an append holds is not one task's to sort; offsets are dense and in order, of descending and repeated keys too."""
+    monkeypatch.setattr(L, "SORTED_ROWS", 100)
+    log = L.EventLog(spark, folder)
+    fill(log, spark, 3)
+    rows = spark.range(0, 1000, 1, 5).selectExpr("'p' AS producer_id", "CAST(id % 50 AS BIGINT) AS g", "CAST(id AS BIGINT) AS k")
+    plans = []
+    placed = log._placed
+    log._placed = lambda *args: plans.append(placed(*args)) or plans[-1]
+    assert log.append(rows, [F.desc("g"), "k"], 2) == 1002
+    got = [(r.offset, r.g, r.k) for r in log.read_range(3).collect()]
+    assert got == [(3 + n, g, k) for n, (g, k) in enumerate(sorted(((k % 50, k) for k in range(1000)), key=lambda x: (-x[0], x[1])))]
+    plan = plans[0]._jdf.queryExecution().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan
+    assert not list(Path(folder.removeprefix("file://")).glob("_staged*"))

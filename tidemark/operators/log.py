@@ -18,6 +18,8 @@ from ..schema import MAX_PRODUCER_ID_BYTES
 
 STRETCH = 1 << 20
 SEGMENT_BYTES, SEGMENT_AGE_NS = 64 << 20, 3600 * 10**9
+#: Rows of an append that one task sorts and numbers.
+SORTED_ROWS = 1 << 18
 DEFAULT_PAGE, MAX_PAGE = 100, 1000
 
 
@@ -197,21 +199,25 @@ class EventLog:
         current = segments[-1] if segments and not segments[-1]["closed"] else None
         segment_base = current["base_offset"] if current else base
         where = f"{self.path}/data/segment_base={segment_base}/append={uuid.uuid4().hex}"
-        # The order is total within a micro-batch, whose rows are few; a bulk load numbers them by with_offsets first.
-        k = F.row_number().over(Window.orderBy(*order)) - 1
-        rows.select((k + base).cast("long").alias("offset"), F.lit(appended_at_ns).cast("long").alias("appended_at_ns"), *rows.columns).write.parquet(where)
-        made = self.spark.read.parquet(where)
-        width = F.octet_length(F.coalesce("producer_id", F.lit("")))
-        n, bad = made.agg(F.count("*"), F.coalesce(F.sum(((width < 1) | (width > MAX_PRODUCER_ID_BYTES)).cast("long")), F.lit(0))).first()
-        if not n or bad:
-            self._fs.delete(self._path(where), True)
+        staged = f"{self.path}/_staged-{uuid.uuid4().hex}"
+        try:
+            # Made once: what follows reads it more than once, and a micro-batch's rows come out of state.
+            rows.write.parquet(f"{staged}/rows")
+            made = self.spark.read.parquet(f"{staged}/rows")
+            width = F.octet_length(F.coalesce("producer_id", F.lit("")))
+            n, bad = made.agg(F.count("*"), F.coalesce(F.sum(((width < 1) | (width > MAX_PRODUCER_ID_BYTES)).cast("long")), F.lit(0))).first()
             if bad:
                 raise InvalidInput("a producer id has 1 to 256 bytes")
-            if batch_id is None:
-                raise InvalidInput("nothing to append")
-            manifest["last_batch"] = batch_id
-            self._write(manifest)
-            return base - 1 if base else None
+            if not n:
+                if batch_id is None:
+                    raise InvalidInput("nothing to append")
+                manifest["last_batch"] = batch_id
+                self._write(manifest)
+                return base - 1 if base else None
+            placed = self._placed(made, order, n, f"{staged}/sorted")
+            placed.select((F.col("_k") + base).cast("long").alias("offset"), F.lit(appended_at_ns).cast("long").alias("appended_at_ns"), *rows.columns).write.parquet(where)
+        finally:
+            self._fs.delete(self._path(staged), True)
         size = int(self._fs.getContentSummary(self._path(where)).getLength())
         if current is None:
             current = asdict(Segment(base, base, appended_at_ns, appended_at_ns, 0, False))
@@ -233,6 +239,24 @@ class EventLog:
             self._fs.delete(self._path(f"{self.path}/data/segment_base={base_offset}"), True)
         return base + n - 1
 
+    def _placed(self, rows: DataFrame, order: list[str | Column], n: int, folder: str) -> DataFrame:
+        """Adds ``_k``, a row's place from 0 in the given order, without a task that sees all rows: ranges of the order are
+        sorted each by a task and written, then counted, and the counts before a range make its base."""
+        parts = -(-n // SORTED_ROWS)
+        ranges = rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, *order)
+        numbered = ranges.sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("_k"), *rows.columns)
+        if parts == 1:
+            return numbered
+        numbered.write.parquet(folder)
+        # The id has the range above its 33 lower bits, and the place within the range in them.
+        read = self.spark.read.parquet(folder).withColumn("_range", F.shiftright("_k", 33))
+        before, bases = 0, []
+        for r in sorted(read.groupBy("_range").count().collect()):
+            bases.append((r["_range"], before - (r["_range"] << 33)))
+            before += r["count"]
+        base = self.spark.createDataFrame(bases, "_range bigint, _base bigint")
+        return read.join(F.broadcast(base), "_range").withColumn("_k", F.col("_k") + F.col("_base"))
+
     def _expired(self, segments: list[dict], now_ns: int) -> list[int]:
         """Closed segments that retention removes, oldest first; asked only after a roll."""
         left = list(segments)

@@ -461,7 +461,9 @@ _NAMES = _LOG_COLUMNS.replace('"', "").split(", ")
 
 def _stored(spark: SparkSession, sf_dir: str) -> tuple[log.EventLog, list[DataFrame]]:
     """A log with the first 300 entries in it, and the rest for another append."""
-    rows = _ingested(spark, sf_dir).log.withColumnRenamed("offset", "_place")
+    path = scratch(spark, "entries")
+    _ingested(spark, sf_dir).log.withColumnRenamed("offset", "_place").write.parquet(path)
+    rows = spark.read.parquet(path)
     kept = log.EventLog(spark, scratch(spark, "log"))
     kept.append(rows.where("_place < 300"), ["_place"], 1)
     return kept, [rows.where("_place >= 300")]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: The grouping window that fits these events, three days.
 WINDOW_NS = 259_200_000_000_000
+#: Event ids that one task numbers.
+STRETCH = 1 << 18
 
 
 def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,9 +17,8 @@ def detections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def from_events(events: DataFrame) -> DataFrame:
     """Detections with producer_id and arrival; every 50th sequence number is left out, every 17th event comes twice."""
-    rn = F.row_number().over(Window.partitionBy("event_type").orderBy("event_id")).cast("long")
     e, kind = F.col("event_id"), F.col("event_type")
-    rows = events.select("event_id", "event_type", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"), rn.alias("rn"))
+    rows = _numbered(events).select("event_id", "event_type", "user_id", "value", F.col("ts").cast("timestamp").alias("ts"), "rn")
     loop = kind.isin("click", "view")
     rssi = F.when(loop & (e % 5 != 0), F.floor("value").cast("long") % 70 - 100).cast("smallint")
     what = F.when(loop, "LoopTransponder").when(kind == "purchase", "Manual").otherwise("BeamBreak")
@@ -38,3 +39,14 @@ def from_events(events: DataFrame) -> DataFrame:
         F.explode(F.when(e % 17 == 0, F.array(e * 2, e * 2 + 41)).otherwise(F.array(e * 2))).alias("arrival"),
     )
     return made
+
+
+def _numbered(events: DataFrame) -> DataFrame:
+    """Adds ``rn``, an event's number from 1 among those of its type, by stretches of ids: a type is many tasks' work."""
+    part = F.expr(f"event_id div {STRETCH}")
+    counts = events.groupBy("event_type", part.alias("_part")).agg(F.count("*").alias("_n"))
+    w = Window.partitionBy("event_type").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select(F.col("event_type").alias("_type"), F.col("_part").alias("_b"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_before"))
+    k = F.row_number().over(Window.partitionBy("event_type", "_part").orderBy("event_id"))
+    same = F.col("event_type").eqNullSafe(F.col("_type")) & F.col("_part").eqNullSafe(F.col("_b"))
+    return events.withColumn("_part", part).withColumn("_k", k).join(before, same).withColumn("rn", F.col("_before") + F.col("_k"))
