@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
 from ..operators.log import RetentionExpired
-from .frames import opened
+from .frames import _files, opened
 
 
 @dataclass
@@ -53,7 +53,14 @@ class _Entries(DataSourceStreamReader):
         earliest = max(segments[0]["base_offset"], manifest.get("floor", 0)) if segments else None
         if a < min(b, manifest["next_offset"]) and (earliest is None or a < earliest):
             raise RetentionExpired(a, earliest)
-        return [_Piece(x["path"], a, b) for x in manifest["appends"] if x["last"] >= a and x["first"] < b]
+        appends = [x["path"] for x in manifest["appends"] if x["last"] >= a and x["first"] < b]
+        # A file is a task's work, as an append may be large.
+        return [_Piece(f, a, b) for append in appends for f in self.files(append)]
+
+    def files(self, append: str) -> list[str]:
+        """Paths as ``opened`` takes them."""
+        root = opened(append)[1]
+        return [append.removesuffix(root) + f for f in _files(append) if f.endswith(".parquet")]
 
     def read(self, partition: _Piece) -> Iterator:
         import pyarrow.dataset as ds
