@@ -1,12 +1,13 @@
 """The stream gives the batch's log, however its input is cut, and goes on where it stopped."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators.log import EventLog
 from tidemark.queries import _ingested, streamed
 from tidemark.sources.events import WINDOW_NS, detections
-from tidemark.streaming.pipeline import run_log, subscribe, use_rocksdb
+from tidemark.streaming.pipeline import Crossings, run_log, subscribe, use_rocksdb
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["offset", "trigger_arrival", "is_derived", "producer_id", "kind", "detection_id", "crossing_id", "subject_id", "at_ns"]
@@ -61,3 +62,34 @@ def test_subscription_ends_when_its_offset_is_evicted(spark, tmp_path):
     with pytest.raises(Exception, match="offset 10 is no longer kept; earliest is 12"):
         run(4, "a")
     assert run(12, "b") == list(range(12, 20))
+
+
+class State(dict):
+    """A map in place of a handle's."""
+
+    getMapState = lambda self, *_: self
+    getValue = dict.get
+    updateValue = dict.__setitem__
+
+
+def test_a_call_groups_many_keys():
+    """Points, subjects and rows without subject share calls; open groups go on in the next call, whatever is untouched stays."""
+    names = ["timing_point_id", "subject_id", "arrival", "producer_id", "detection_id", "detected_at_ns", "detected_at_uncertainty_ns", "timebase_id", "timestamping_method", "source_attestation", "rssi"]
+
+    def frame(*some):
+        return pd.DataFrame([(p, s, a, "prod", f"d{a}", t, u, "tb", "m", "sa", r) for p, s, a, t, u, r in some], columns=names)
+
+    processor, state = Crossings(10), State()
+    processor.init(state)
+
+    def call(*frames):
+        out = pd.concat(list(processor.handleInputRows((0,), iter(frames), None)))
+        done = out[out.is_derived]
+        return sorted((r.timing_point_id, r.subject_id, r.trigger_arrival, r.at_ns, r.uncertainty_ns, list(r.detection_ids)) for r in done.itertuples()), sorted(out[~out.is_derived].trigger_arrival)
+
+    made, passed = call(frame(("a", "x", 5, 4, 3, None), ("a", None, 4, 7, None, None)), frame(("a", "x", 1, 0, None, -5), ("b", "x", 2, 0, None, None), ("b", "y", 3, 1, None, None)))
+    assert made == [("a", None, 4, 7, None, ["d4"])] and passed == [1, 2, 3, 4, 5] and len(state) == 3
+    made, passed = call(frame(("a", "x", 8, 50, None, None), ("b", "y", 7, 9, None, None), ("b", "y", 6, 8, None, None)))
+    assert made == [("a", "x", 8, 0, 4, ["d1", "d5"])] and passed == [6, 7, 8]
+    made, _ = call(frame(("b", "x", 10, 11, None, None), ("b", "y", 11, 99, None, None)))
+    assert made == [("b", "x", 10, 0, None, ["d2"]), ("b", "y", 11, 1, 8, ["d3", "d6", "d7"])]

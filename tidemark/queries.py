@@ -384,14 +384,15 @@ def streamed(spark: SparkSession, sf_dir: str, folder: str, files: int = 3) -> D
 
     use_rocksdb(spark)
     rows = detections(spark, sf_dir)
+    rows.write.parquet(f"{folder}/arrived")
+    rows = spark.read.schema(rows.schema).parquet(f"{folder}/arrived")
     low, high = rows.agg(F.min("arrival"), F.max("arrival")).first()
-    for k in range(files):  # a file of each stretch of arrivals, written in order
-        a, b = low + (high + 1 - low) * k // files, low + (high + 1 - low) * (k + 1) // files
-        rows.where((F.col("arrival") >= a) & (F.col("arrival") < b)).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-    source = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
     kept = log.EventLog(spark, f"{folder}/log")
-    done = run_log(source, kept, f"{folder}/checkpoint", lambda batch: batch, WINDOW_NS)
-    done.awaitTermination()
+    for k in range(files):  # a stretch of arrivals is a micro-batch, of as many files as tasks wrote
+        a, b = low + (high + 1 - low) * k // files, low + (high + 1 - low) * (k + 1) // files
+        rows.where((F.col("arrival") >= a) & (F.col("arrival") < b)).write.mode("append").parquet(f"{folder}/in")
+        source = spark.readStream.schema(rows.schema).parquet(f"{folder}/in")
+        run_log(source, kept, f"{folder}/checkpoint", lambda batch: batch, WINDOW_NS).awaitTermination()
     return kept.read_range(0)
 
 

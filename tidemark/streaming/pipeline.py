@@ -1,119 +1,144 @@
 """The same computation as a stream: gate state by producer and detector, open groups by point and subject, log append.
 
-Rows of a key may come in several pieces within a micro-batch, so each call gathers and sorts them by arrival. State
+Rows of a key may come in several pieces within a micro-batch, so each call gathers and sorts them by arrival, and works
+on columns: points and subjects are many and have few rows each, so a call has a shard of them. State
 has no time-out; checkpoints hold it, and an append's batch id makes a replayed micro-batch harmless.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.crossings import DEFAULT_WINDOW_NS, crossing_id
+from ..operators.crossings import _COLUMNS, DEFAULT_WINDOW_NS, crossing_id, grouped
 from ..operators.log import EventLog
 from ..schema import flat
 
-_IN = "producer_id string, detector_id string, timing_point_id string, subject_id string, detection_id string, arrival bigint, sequence_number bigint, detected_at_ns bigint, uncertainty_ns bigint, rssi int, timebase_id string, timestamping_method string, source_attestation string"
+_IN = "producer_id string, detector_id string, timing_point_id string, subject_id string, detection_id string, arrival bigint, sequence_number bigint, detected_at_ns bigint, detected_at_uncertainty_ns bigint, rssi int, timebase_id string, timestamping_method string, source_attestation string"
 _ROW = flat(_IN)
-_HELD = flat("detection_id string, arrival bigint, detected_at_ns bigint, uncertainty_ns bigint, rssi int, timebase_id string, timestamping_method string, source_attestation string")
+_ARROW = {"arrival": pa.int64(), "sequence_number": pa.int64(), "detected_at_ns": pa.int64(), "detected_at_uncertainty_ns": pa.int64(), "rssi": pa.int32()} | {f.name: pa.string() for f in _ROW if f.dataType == T.StringType()}
+#: What state has of an open group's rows.
+_HELD = ("detection_id", "arrival", "detected_at_ns", "detected_at_uncertainty_ns", "rssi", "timebase_id", "timestamping_method", "source_attestation")
+#: Keys of state come in so many parts, each one call a micro-batch; a checkpoint is bound to it.
+SHARDS = 512
+_PIECE = 10_000
 _OUT = flat(
     "trigger_arrival bigint, is_derived boolean, producer_id string, kind string, detection_id string, timing_point_id string, subject_id string, at_ns bigint, "
     "uncertainty_ns bigint, timebase_id string, timestamping_method string, source_attestation string, detection_ids array<string>"
 )
 
 
-def _gathered(rows) -> list[dict]:
-    frames = [r for r in rows if len(r)]
-    if not frames:
-        return []
-    frame = pd.concat(frames, ignore_index=True) if len(frames) > 1 else frames[0]
-    frame = frame.astype(object).where(frame.notna(), None)
-    return sorted(frame.to_dict("records"), key=lambda r: int(r["arrival"]))
+def _gathered(rows, names: list[str]) -> pa.Table | None:
+    """All rows of a key in a micro-batch."""
+    tables = [pa.Table.from_arrays([pa.array(f[c], _ARROW[c], from_pandas=True) for c in names], names=names) for f in rows if len(f)]
+    return pa.concat_tables(tables).combine_chunks() if tables else None
 
 
-def _int(x):
-    return None if x is None or x != x else int(x)
+def _frame(table: pa.Table) -> pd.DataFrame:
+    return table.to_pandas(integer_object_nulls=True)
 
 
 class Gate(StatefulProcessor):
+    """Keeps what is above the running maximum of the rows before it."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.high = handle.getValueState("high_water", "high_water bigint")
 
     def handleInputRows(self, key, rows, timerValues):
-        high = int(self.high.get()[0]) if self.high.exists() else None
-        kept = []
-        for r in _gathered(rows):
-            n = int(r["sequence_number"])
-            if high is None or n > high:
-                high = n
-                kept.append(r)
-        if kept:
-            self.high.update((high,))
-            yield pd.DataFrame(kept, columns=_ROW.names).astype({"rssi": "Int32", "uncertainty_ns": "Int64", "arrival": "int64", "sequence_number": "int64", "detected_at_ns": "int64"})
+        table = _gathered(rows, _ROW.names)
+        if table is None:
+            return
+        table = table.sort_by("arrival")
+        n = table.column("sequence_number").to_numpy()
+        known = self.high.exists()
+        high = int(self.high.get()[0]) if known else int(n[0])
+        top = np.maximum.accumulate(np.concatenate(([high], n)))
+        keep = n > top[:-1]
+        if not known:
+            keep[0] = True
+        if keep.any():
+            self.high.update((int(top[-1]),))
+            kept = table.filter(pa.array(keep))
+            for at in range(0, kept.num_rows, _PIECE):
+                yield _frame(kept.slice(at, _PIECE))
 
     def close(self) -> None:
         pass
 
 
-def reduced(group: list[dict], point: str, subject: str | None) -> dict:
-    """A crossing of a group of detections in arrival order."""
-    with_rssi = [k for k, r in enumerate(group) if _int(r["rssi"]) is not None]
-    if with_rssi:
-        peak = max(range(len(group)), key=lambda k: (-32768 if _int(group[k]["rssi"]) is None else _int(group[k]["rssi"]), k))
-    else:
-        peak = min(range(len(group)), key=lambda k: (int(group[k]["detected_at_ns"]), k))
-    times = [int(r["detected_at_ns"]) for r in group]
-    span, own = max(times) - min(times), _int(group[peak]["uncertainty_ns"])
-    best = group[peak]
-    return {
-        "kind": "Crossing", "is_derived": True, "timing_point_id": point, "subject_id": subject, "at_ns": times[peak], "uncertainty_ns": max(own, span) if own is not None else span or None,
-        "timebase_id": best["timebase_id"], "timestamping_method": best["timestamping_method"], "source_attestation": best["source_attestation"], "detection_ids": [r["detection_id"] for r in group],
-    }
-
-
 class Crossings(StatefulProcessor):
-    """Passes every detection on, each followed by the crossings that it closes."""
+    """Passes every detection on, each followed by the crossings that it closes.
+
+    A call has the rows of a shard of the keys, and groups them all as the batch operator does; state has each key's
+    open group, of which only those that the rows touch are read and written.
+    """
 
     def __init__(self, window_ns: int):
         self.window_ns = window_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.open = handle.getListState("open", _HELD)
+        self.open = handle.getMapState("open", "key string", "rows string")
+
+    def _before(self, fresh: pa.Table) -> pa.Table | None:
+        """Rows of the open groups of the keys that have a row."""
+        keys = fresh.filter(pc.is_valid(fresh.column("subject_id"))).group_by(["timing_point_id", "subject_id"]).aggregate([])
+        held = []
+        for point, subject in zip(keys.column("timing_point_id").to_pylist(), keys.column("subject_id").to_pylist()):
+            found = self.open.getValue((json.dumps([point, subject]),))
+            if found is not None:
+                columns = dict(zip(_HELD, json.loads(found[0])))
+                m = len(columns["arrival"])
+                columns |= {"timing_point_id": [point] * m, "subject_id": [subject] * m, "producer_id": [None] * m}
+                held.append([columns[c] for c in _COLUMNS])
+        if not held:
+            return None
+        return pa.Table.from_arrays([pa.array([x for h in held for x in h[k]], fresh.schema.field(c).type) for k, c in enumerate(_COLUMNS)], names=_COLUMNS)
 
     def handleInputRows(self, key, rows, timerValues):
-        held = [dict(zip(_HELD.names, r)) for r in self.open.get()]
-        before, out = len(held), []
-        fresh = False
-        for r in _gathered(rows):
-            passed = {"kind": "Detection", "is_derived": False, "at_ns": int(r["detected_at_ns"]), "trigger_arrival": int(r["arrival"]), **{k: r[k] for k in ("producer_id", "detection_id", "timing_point_id", "subject_id", "timebase_id", "timestamping_method", "source_attestation")}, "uncertainty_ns": _int(r["uncertainty_ns"]), "detection_ids": None}
-            out.append(passed)
-            own = {k: r[k] for k in _HELD.names}
-            made = None
-            if r["subject_id"] is None:
-                made = reduced([own], r["timing_point_id"], None)
-            elif not held:
-                held, fresh = [own], True
-            elif int(own["detected_at_ns"]) - int(held[0]["detected_at_ns"]) <= self.window_ns:
-                held.append(own)
-            else:
-                made = reduced(held, r["timing_point_id"], r["subject_id"])
-                held, fresh = [own], True
-            if made:
-                out.append(made | {"trigger_arrival": int(r["arrival"]), "producer_id": r["producer_id"], "detection_id": None})
-        as_row = lambda r: (r["detection_id"], int(r["arrival"]), int(r["detected_at_ns"]), _int(r["uncertainty_ns"]), _int(r["rssi"]), r["timebase_id"], r["timestamping_method"], r["source_attestation"])
-        if fresh:
-            self.open.put([as_row(r) for r in held])
-        elif len(held) > before:
-            self.open.appendList([as_row(r) for r in held[before:]])
-        if out:
-            frame = pd.DataFrame(out, columns=_OUT.names)
-            yield frame.astype({"uncertainty_ns": "Int64", "trigger_arrival": "int64", "at_ns": "int64", "is_derived": bool})
+        fresh = _gathered(rows, _COLUMNS)
+        if fresh is None:
+            return
+        before = self._before(fresh)
+        both = fresh if before is None else pa.concat_tables([before, fresh])
+        is_new = np.arange(both.num_rows) >= both.num_rows - fresh.num_rows
+        code = lambda c: both.column(c).combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+        order = np.lexsort((both.column("arrival").to_numpy(), is_new, code("subject_id"), code("timing_point_id")))
+        sorted_rows, is_new = both.take(pa.array(order)).combine_chunks().to_batches()[0], is_new[order]
+        groups = pa.Table.from_batches([g for _, g in grouped(iter([sorted_rows]), self.window_ns)]).combine_chunks()
+        ends = np.cumsum(pc.list_value_length(groups.column("detection_ids")).to_numpy())
+        starts = np.concatenate(([0], ends[:-1]))
+        # A key's last group is open; it is written if it has a new row.
+        touched = np.add.reduceat(is_new.astype(np.int64), starts) > 0
+        for k in np.flatnonzero(groups.column("is_open").to_numpy() & touched).tolist():
+            own = sorted_rows.slice(int(starts[k]), int(ends[k] - starts[k]))
+            name = json.dumps([own.column("timing_point_id")[0].as_py(), own.column("subject_id")[0].as_py()])
+            self.open.updateValue((name,), (json.dumps([own.column(c).to_pylist() for c in _HELD]),))
+        n = fresh.num_rows
+        same = ("timing_point_id", "subject_id", "timebase_id", "timestamping_method", "source_attestation")
+        passed = {c: fresh.column(c) for c in (*same, "detection_id", "producer_id")} | {
+            "trigger_arrival": fresh.column("arrival"), "is_derived": pa.repeat(False, n), "kind": pa.repeat("Detection", n), "at_ns": fresh.column("detected_at_ns"), "uncertainty_ns": fresh.column("detected_at_uncertainty_ns"),
+            "detection_ids": pa.nulls(n, pa.list_(pa.string())),
+        }
+        done = groups.filter(pc.invert(groups.column("is_open")))
+        m = done.num_rows
+        made = {c: done.column(c) for c in (*same, "trigger_arrival", "detection_ids")} | {
+            "producer_id": done.column("trigger_producer_id"), "is_derived": pa.repeat(True, m), "kind": pa.repeat("Crossing", m), "at_ns": done.column("crossed_at_ns"), "uncertainty_ns": done.column("crossed_at_uncertainty_ns"),
+            "detection_id": pa.nulls(m, pa.string()),
+        }
+        for out in (passed, made):
+            table = pa.table({c: out[c] for c in _OUT.names})
+            for at in range(0, table.num_rows, _PIECE):
+                yield _frame(table.slice(at, _PIECE))
 
     def close(self) -> None:
         pass
@@ -122,14 +147,13 @@ class Crossings(StatefulProcessor):
 def log_stream(detections: DataFrame, window_ns: int = DEFAULT_WINDOW_NS) -> DataFrame:
     """Log rows of a stream of detections: gate, grouping, and the crossings after the events that close them."""
     rows = detections.select(
-        "producer_id", "detector_id", "timing_point_id", "subject_id", "detection_id", "arrival", "sequence_number", "detected_at_ns", F.col("detected_at_uncertainty_ns").alias("uncertainty_ns"),
+        "producer_id", "detector_id", "timing_point_id", "subject_id", "detection_id", "arrival", "sequence_number", "detected_at_ns", "detected_at_uncertainty_ns",
         F.when(F.col("sensor.kind") == "LoopTransponder", F.col("sensor.rssi_dbm")).cast("int").alias("rssi"), "timebase_id", "timestamping_method", "source_attestation",
     )
     kept = rows.groupBy("producer_id", "detector_id").transformWithStateInPandas(Gate(), _ROW, "Append", "None")
-    # A row without subject has a key, and so a task, of its own; nothing is held for it.
-    alone = F.concat(F.lit("\x00"), "producer_id", F.lit("\x00"), F.col("arrival").cast("string"))
-    keyed = kept.withColumn("_subject", F.coalesce("subject_id", alone))
-    made = keyed.groupBy("timing_point_id", "_subject").transformWithStateInPandas(Crossings(window_ns), _OUT, "Append", "None")
+    # Rows without subject are spread; nothing is held for them.
+    shard = F.pmod(F.xxhash64("timing_point_id", F.coalesce("subject_id", F.col("arrival").cast("string"))), F.lit(SHARDS))
+    made = kept.withColumn("_shard", shard).groupBy("_shard").transformWithStateInPandas(Crossings(window_ns), _OUT, "Append", "None")
     return made.withColumn("crossing_id", F.when(F.col("is_derived"), crossing_id(F.col("timing_point_id"), F.col("subject_id"), F.element_at("detection_ids", 1))))
 
 
