@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 from ..functions.codec import ENVELOPE_FIELDS, SerialDecoder, StreamDecoder, segment_header, segment_record, segment_stream, serial_frame, stream_frame
 
@@ -74,7 +74,7 @@ class _Written(WriterCommitMessage):
     done: str
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     """Tasks write files that readers skip; they get their names when all tasks are done."""
 
     def __init__(self, options, overwrite: bool):
@@ -82,9 +82,9 @@ class _Writer(DataSourceWriter):
 
     def encoded(self, rows) -> Iterator[bytes]:
         frame = stream_frame if self.framing == "stream" else serial_frame
-        return (frame(r.asDict()) for r in rows)
+        return (frame(r) for r in rows)
 
-    def write(self, rows) -> WriterCommitMessage:
+    def write(self, batches) -> WriterCommitMessage:
         from pyspark import TaskContext
 
         part = f"{TaskContext.get().partitionId():05d}-{TaskContext.get().taskAttemptId()}"
@@ -92,7 +92,7 @@ class _Writer(DataSourceWriter):
         where.create_dir(root, recursive=True)
         new = f"{root}/_part-{part}"
         with where.open_output_stream(new) as f:
-            for data in self.encoded(rows):
+            for data in self.encoded(r for b in batches for r in b.to_pylist()):
                 f.write(data)
         return _Written(new, f"{root}/part-{part}.bin")
 
