@@ -3,6 +3,7 @@
 import math
 import random
 import re
+import tracemalloc
 import unicodedata
 from collections import Counter, defaultdict
 
@@ -366,6 +367,26 @@ def test_crowded_prefixes(monkeypatch, crowd):
     assert Counter(label[600:].tolist()).most_common(1)[0][1] > 0.9 * Counter(want[k] for k in range(600, 1000)).most_common(1)[0][1]
 
 
+def test_memory_of_a_bucket():
+    n = 150_000
+    fp = np.random.default_rng(6).integers(0, 2**64, (n, 4), dtype=np.uint64)
+    tracemalloc.start()
+    simhash.bucket_components(fp, 43, [(0.13, 0.95), (43 / 256, simhash.EDGE)], 0, 64)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 160 * n
+
+
+def test_fingerprints_are_shuffled_many_a_row():
+    rng = np.random.default_rng(6)
+    fp = rng.integers(0, 2**64, (1000, 4), dtype=np.uint64)
+    node, bucket = rng.permutation(1000) - 500, rng.integers(0, 7, 1000)
+    own, packed = simhash.pack(bucket, node, fp)
+    assert len(packed) <= 1000 / simhash.PACKED + 7 and max(map(len, packed.to_pylist())) <= 40 * simhash.PACKED
+    got = [(b, *r) for b, row in zip(own.tolist(), packed.to_pylist()) for r in zip(np.frombuffer(row, np.int64)[::5].tolist(), (bytes(row[k + 8 : k + 40]) for k in range(0, len(row), 40)))]
+    assert sorted(got) == sorted(zip(bucket.tolist(), node.tolist(), (f.tobytes() for f in fp)))
+
+
 def test_components(spark):
     chain = [(k + 1, k) for k in range(60)] + [(200, 100), (201, 200), (201, 202)]
     for one_task in (0, 1 << 22):
